@@ -7,6 +7,8 @@ import importlib
 #: Query name and module of each operator; modules are imported when the mapping is asked for.
 OPERATORS = {
     "op2_quality_rules": "quality",
+    "op7_ngram_jaccard_join": "jaccard",
+    "op8_byte_bpe": "bpe",
 }
 
 
