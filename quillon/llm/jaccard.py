@@ -258,7 +258,7 @@ def rest_of_large(starred: DataFrame, labels: DataFrame, block: int = BLOCK) ->
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("h", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") == F.col("j")).alias("one"), "k1", "n", "pos", "label")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         t = {c: table.column(c).to_numpy() for c in table.column_names}
         a = np.flatnonzero(t["left"])
         b = a if t["one"].any() else np.flatnonzero(~t["left"])
