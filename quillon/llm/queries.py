@@ -7,6 +7,7 @@ import importlib
 #: Query name and module of each operator; modules are imported when the mapping is asked for.
 OPERATORS = {
     "op2_quality_rules": "quality",
+    "op4_license_scan": "licenses",
     "op5_pii": "pii",
     "op7_ngram_jaccard_join": "jaccard",
     "op8_byte_bpe": "bpe",
