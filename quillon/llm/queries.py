@@ -9,6 +9,7 @@ OPERATORS = {
     "op2_quality_rules": "quality",
     "op4_license_scan": "licenses",
     "op5_pii": "pii",
+    "op6_decontamination": "tiling",
     "op7_ngram_jaccard_join": "jaccard",
     "op8_byte_bpe": "bpe",
 }
