@@ -12,6 +12,7 @@ OPERATORS = {
     "op6_decontamination": "tiling",
     "op7_ngram_jaccard_join": "jaccard",
     "op8_byte_bpe": "bpe",
+    "op9_ppm_scores": "ppm",
     "op10_substring_dedup": "passages",
 }
 
