@@ -6,7 +6,9 @@ import importlib
 
 #: Query name and module of each operator; modules are imported when the mapping is asked for.
 OPERATORS = {
+    "op1_html_extraction": "html",
     "op2_quality_rules": "quality",
+    "op3_chat_rotation": "chat",
     "op4_license_scan": "licenses",
     "op5_pii": "pii",
     "op6_decontamination": "tiling",
@@ -22,4 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op3 whole; the others have trained, hashed or many-rule columns that SQL can't give: tests/llm holds them against brute force."""
+    from .chat import ORACLE
+
+    return {"op3_chat_rotation": ORACLE}
