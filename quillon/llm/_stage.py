@@ -57,8 +57,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError("components: not settled")
-    roots = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return roots
+    members = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return members.union(e.select("b", F.col("b").alias("c")).distinct())
 
 
 def bloom(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:

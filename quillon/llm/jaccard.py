@@ -7,8 +7,9 @@
    shingle and pass the length, index-prefix and positional filters are candidates.
    In a bucket of over `large` classes only the star around a pivot is compared at first.
 4. Each candidate pair is verified once on whole sets, after a suffix filter.
-5. Components of the links. Classes of a large bucket that are still in different components are
-   then compared with each other, in blocks, so no link that could join components is lost.
+5. Components of the links. Classes that large buckets connect and that are still in different
+   components are then compared with each other, whole sets in blocks within a task, and only links
+   that join components are handed on: no link that could join components is lost.
 
 Defined results: A-Z count as a-z; a text without words has an empty set and links with nothing;
 a text of fewer than five words is one shingle; a null id can't be named, so its component is null;
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._runs import all_pairs, runs, table_of
 from ._stage import bloom, components, in_bloom, written
 from ._text import U, Words, mix, pieces
 
@@ -34,6 +36,8 @@ T_NUM, T_DEN = 4, 5  # similarity 4/5
 #: Bins of the frequency sketch (one byte each in the broadcast) and rows of it in a chunk.
 BINS, CHUNK = 1 << 20, 1 << 16
 LARGE, BLOCK = 64, 512
+#: Columns of a 0/1 matrix that is multiplied at once.
+WIDTH = 4096
 
 
 def _i64(x) -> pa.Array:
@@ -125,33 +129,6 @@ def _passes(na, pa_, nb, pb):
     return (na * T_DEN >= nb * T_NUM) & (pa_ < index) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= least)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """Runs of equal h of a sorted stream as (rows of h, k1, n, pos; whether it is a further part of a long run).
-
-    Rows that are alone with their h are dropped at once; of a run over `limit` rows a part at a time is held."""
-    rest = np.zeros((0, 4), dtype=np.int64)
-    going = None
-    for b in batches:
-        x = np.concatenate([rest, np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])])
-        if not len(x):
-            continue
-        if going is not None and x[0, 0] != going:
-            going = None
-        at = np.concatenate([[0], np.flatnonzero(np.diff(x[:, 0])) + 1, [len(x)]])
-        size = np.diff(at)[:-1]
-        for g in np.flatnonzero(size > (0 if going is not None else 1)):
-            if g == 0 or size[g] > 1:
-                yield x[at[g] : at[g + 1]], g == 0 and going is not None
-        if len(size):
-            going = None
-        rest = x[at[-2] :]
-        if len(rest) > limit or going is not None:
-            yield rest, going is not None
-            rest, going = rest[:0], rest[0, 0]
-    if len(rest) > 1:
-        yield rest, False
-
-
 def candidates(posts: DataFrame, large: int = LARGE) -> DataFrame:
     """(a, b, h, na, pa, nb, pb): pairs of class keys. h is null in small buckets, whose pairs are all compared.
 
@@ -166,37 +143,33 @@ def candidates(posts: DataFrame, large: int = LARGE) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2], mask=x[:, 7] == 0), *(pa.array(x[:, i]) for i in range(3, 7))], names=["a", "b", "h", "na", "pa", "nb", "pb"])
 
-        for rows, further in _groups(iter(batches), 4096):
-            if not further:
-                pivot = None
-                first = np.unique(rows[:, 1], return_index=True)[1]
-                rows = rows[np.sort(first)]
-                m = len(rows)
-                if m < 2:
-                    continue
-                if m <= large:
-                    i, j = np.triu_indices(m, 1)
-                    ok = _passes(rows[i, 2], rows[i, 3], rows[j, 2], rows[j, 3])
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        z = np.zeros(len(i), dtype=np.int64)
-                        a, b = np.minimum(rows[i, 1], rows[j, 1]), np.maximum(rows[i, 1], rows[j, 1])
-                        held.append(np.column_stack([a, b, z, z, z, z, z, z]))
-                    if sum(map(len, held)) > 1 << 16:
-                        yield flush()
-                    continue
-            out = np.empty((len(rows), 8), dtype=np.int64)
-            i = 0
-            while i < len(rows):
-                if pivot is None or pivot[2] * T_DEN < rows[i, 2] * T_NUM:
-                    pivot = rows[i].copy()
-                j = int(np.searchsorted(rows[:, 2] * T_NUM > pivot[2] * T_DEN, True))
-                j = max(j, i + 1)
-                out[i:j, 0] = pivot[1]
-                out[i:j, 3], out[i:j, 4] = pivot[2], pivot[3]
-                i = j
-            out[:, 1], out[:, 2], out[:, 5], out[:, 6], out[:, 7] = rows[:, 1], rows[:, 0], rows[:, 2], rows[:, 3], 1
-            held.append(out)
+        for what, rows, starts in runs((table_of(b, 4) for b in batches), large):
+            if what == "short":
+                for x, y in all_pairs(rows, starts):
+                    ok = (x[:, 1] != y[:, 1]) & _passes(x[:, 2], x[:, 3], y[:, 2], y[:, 3])
+                    if ok.any():
+                        out = np.zeros((int(ok.sum()), 8), dtype=np.int64)
+                        out[:, 0], out[:, 1] = np.minimum(x[ok, 1], y[ok, 1]), np.maximum(x[ok, 1], y[ok, 1])
+                        held.append(out)
+            else:
+                if what == "long":
+                    pivot = None
+                    if rows[:, 1].min() == rows[:, 1].max():
+                        rows = rows[:1]
+                out = np.empty((len(rows), 8), dtype=np.int64)
+                i = 0
+                while i < len(rows):
+                    before = None
+                    if pivot is None or pivot[2] * T_DEN < rows[i, 2] * T_NUM:
+                        before, pivot = pivot, rows[i].copy()
+                    j = max(i + 1, int(np.searchsorted(rows[:, 2] * T_NUM > pivot[2] * T_DEN, True)))
+                    out[i:j, 0] = pivot[1]
+                    out[i:j, 3], out[i:j, 4] = pivot[2], pivot[3]
+                    if before is not None:  # too short to be similar, but of one cluster
+                        out[i, 0], out[i, 3], out[i, 4] = before[1], before[2], before[3]
+                    i = j
+                out[:, 1], out[:, 2], out[:, 5], out[:, 6], out[:, 7] = rows[:, 1], rows[:, 0], rows[:, 2], rows[:, 3], 1
+                held.append(out)
             if sum(map(len, held)) > 1 << 16:
                 yield flush()
         if held:
@@ -250,30 +223,70 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def rest_of_large(starred: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): the pairs of large buckets that pass the filters and aren't in one component yet; `labels`: (k1, label)."""
-    rows = starred.select("h", F.col("b").alias("k1"), F.col("nb").alias("n"), F.col("pb").alias("pos")).join(labels, "k1")
-    mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    rows = rows.join(mixed, "h").withColumn("i", F.pmod(F.xxhash64("k1"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("h", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") == F.col("j")).alias("one"), "k1", "n", "pos", "label")
+def links_between(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Matrix of which sets of x reach the similarity with which of y: overlaps as products of 0/1 matrices, some columns at a time."""
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    names = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+
+    def entries(sets, sizes):
+        v = np.concatenate(sets)
+        at = np.searchsorted(names, v)
+        ok = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == v) if len(names) else np.zeros(len(v), dtype=bool)
+        row = np.repeat(np.arange(len(sets)), sizes)[ok]
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], row[order]
+
+    (cx, rx), (cy, ry) = entries(x, nx), entries(y, ny)
+    for lo in range(0, len(names), WIDTH):
+        part = []
+        for c, r, n in ((cx, rx, len(x)), (cy, ry, len(y))):
+            s, e = np.searchsorted(c, lo), np.searchsorted(c, lo + WIDTH)
+            m = np.zeros((n, WIDTH), dtype=np.float32)
+            m[r[s:e], c[s:e] - lo] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    return both >= need(nx[:, None], ny[None, :])
+
+
+def rest_of_large(starred: DataFrame, sets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of class ids that join components which large buckets connect but the stars didn't.
+
+    Classes that large buckets connect form a cluster; one whose classes aren't all in one component yet is
+    compared completely, a pair of blocks at a time, within the task; only links that join components come out,
+    at most one fewer than there are labels in the two blocks."""
+    clusters = components(starred.select("a", "b"))
+    d = clusters.withColumnRenamed("node", "k1").join(sets.select("k1", "cid", "members"), "k1").join(labels, "cid")
+    mixed = d.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = mixed.select("component", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    d = d.join(mixed, "component").withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    d = d.select("component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") <= F.col("j")).alias("left"), "cid", "label", "members")
 
     def run(key, table):
-        t = {c: table.column(c).to_numpy() for c in table.column_names}
-        a = np.flatnonzero(t["left"])
-        b = a if t["one"].any() else np.flatnonzero(~t["left"])
+        left = table.column("left").to_numpy()
+        cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
+        members = [np.frombuffer(m, dtype=U) for m in table.column("members").to_pylist()]
+        a = np.flatnonzero(left)
+        b = a if key[1].as_py() == key[2].as_py() else np.flatnonzero(~left)
         found = []
-        for x in a:  # one row against a block
-            y = b[t["label"][b] != t["label"][x]]
-            short = (t["n"][x] < t["n"][y]) | ((t["n"][x] == t["n"][y]) & (t["k1"][x] < t["k1"][y]))
-            na, pa_ = np.where(short, t["n"][x], t["n"][y]), np.where(short, t["pos"][x], t["pos"][y])
-            nb, pb = np.where(short, t["n"][y], t["n"][x]), np.where(short, t["pos"][y], t["pos"][x])
-            y = y[_passes(na, pa_, nb, pb)]
-            found.append(np.column_stack([np.minimum(t["k1"][x], t["k1"][y]), np.maximum(t["k1"][x], t["k1"][y])]))
-        z = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": pa.array(z[:, 0], pa.int64()), "b": pa.array(z[:, 1], pa.int64())})
+        if len(a) and len(b) and len(np.unique(label)) > 1:
+            linked = links_between([members[i] for i in a], [members[i] for i in b]) & (label[a][:, None] != label[b][None, :])
+            root: dict[int, int] = {}
+
+            def top(v):
+                while root.get(v, v) != v:
+                    v = root[v]
+                return v
+
+            for p, q in zip(*np.nonzero(linked), strict=True):
+                u, v = top(label[a[p]]), top(label[b[q]])
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    found.append((int(cid[a[p]]), int(cid[b[q]])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
+    return d.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, large: int = LARGE) -> DataFrame:
@@ -298,9 +311,8 @@ def jaccard_components(docs: DataFrame, k: int = K, large: int = LARGE) -> DataF
     edges = written(verified(pairs, sets).union(same).distinct(), "edges")
     roots = components(edges)
     if not starred.isEmpty():
-        labels = sets.select("k1", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k1", F.coalesce("component", "cid").alias("label"))
-        more = rest_of_large(starred, labels).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = written(verified(more, sets), "edges")
+        labels = sets.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("label"))
+        more = written(rest_of_large(starred, sets, labels), "edges")
         if not more.isEmpty():
             roots = components(edges.union(more))
     roots = roots.withColumnRenamed("node", "cid")
