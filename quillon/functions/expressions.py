@@ -150,8 +150,7 @@ class _Parser:
     def field(self, v: Value, name: str) -> Value:
         if v.kind != V.MAP:
             return V.literal(None)
-        c = v.col.getField(name)
-        return Value(c, self.kinds.get(name, V.TEXT) if (self.kinds := self.nested(v)) else V.TEXT)
+        return Value(v.col.getField(name), self.nested(v).get(name, V.TEXT))
 
     def nested(self, v: Value) -> dict[str, str]:
         return {f.name: V.kind_of(f.dataType) for s in self.schema.fields if isinstance(s.dataType, T.StructType) for f in s.dataType.fields}

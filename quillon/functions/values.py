@@ -107,7 +107,7 @@ def _significant(c: Column) -> Column:
     for places in range(10):
         if places != 5:
             fixed = F.when(exponent == 5 - places, F.format_string(f"%.{places}f", c)).otherwise(fixed)
-    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"))
     scientific = F.concat(trim(F.substring_index(text, "e", 1)), power)
     finite = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(trim(fixed))
     return F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf")).otherwise(finite)

@@ -16,7 +16,7 @@ _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_.]*$")
 @contextmanager
 def connection(url: str) -> Iterator:
     scheme, _, path = url.partition(":")
-    path = path.removeprefix("//").removeprefix("/") if path.startswith("///:") else path.removeprefix("//")
+    path = path.removeprefix("//")
     if scheme == "sqlite":
         c = sqlite3.connect(path or ":memory:", isolation_level=None)
     elif scheme == "duckdb":
