@@ -16,6 +16,13 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
 
 
+def fixed(value: Column) -> Column:
+    """value, computed once in this projection. Catalyst would put a column that is used once, or in a pushed filter, in
+    place of its name, also inside a lambda, and so compute it for each element; it leaves what isn't deterministic
+    where it is, and the (always true) condition on a row number counts as such."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

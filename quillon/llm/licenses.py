@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._native import let, matches, without
+from ._native import fixed, let, matches, without
 
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -225,8 +225,8 @@ def licenses(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     taken = {*OUT, found}
     d = docs.select(*without(docs, *taken), F.coalesce(docs["text"], F.lit("")).alias(t))
-    d = d.withColumns({low: F.lower(text), base: F.when(gate, F.concat(*map(places, PHRASES))).otherwise(none)})
-    d = d.withColumn(found, detections(F.col(low)))
+    d = d.withColumns({low: F.lower(text), base: fixed(F.when(gate, F.concat(*map(places, PHRASES))).otherwise(none))})
+    d = d.withColumn(found, fixed(detections(F.col(low))))
 
     def words_before(at: Column) -> Column:
         return F.regexp_count(F.substring(text, F.lit(1), at.cast("int")), F.lit(f"{_IN}+")).cast("long")

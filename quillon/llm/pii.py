@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._native import matches, without
+from ._native import fixed, matches, without
 
 BASE = ["email", "ip", "card", "phone"]
 #: The given patterns, written so that Java's matcher neither recurses nor rescans a long run: a run
@@ -189,11 +189,11 @@ def find(docs: DataFrame, codes: list[int], arrays: bool = False) -> DataFrame:
     text = F.col(_T)
     d = docs.select(*without(docs, *OUT), F.coalesce(docs["text"], F.lit("")).alias(_T))
     columns = {f"__pii_{k}": v for k, v in base_spans(text).items()}
-    d = d.select("*", *(v.alias(k) for k, v in columns.items()), candidates(text).alias(_C))
+    d = d.select("*", *(fixed(v).alias(k) for k, v in columns.items()), fixed(candidates(text)).alias(_C))
     taken = F.concat(*(F.col(k) for k in columns))
     good = F.array(*map(F.lit, codes)).cast("array<int>")
     added = F.filter(_C, lambda c: F.array_contains(good, c["code"]) & ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    d = d.withColumn(_C, added)
+    d = d.withColumn(_C, fixed(added))
 
     def told(kind: str, a: Column | str) -> Column:
         return F.transform(a, lambda m: F.concat_ws(":", F.lit(kind), m["start"], m["end"]))
@@ -211,7 +211,7 @@ def find(docs: DataFrame, codes: list[int], arrays: bool = False) -> DataFrame:
     if arrays:
         parts = [placed(k) for k in BASE]
         parts.append(F.transform(_C, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
-        out["__pii_all"] = F.array_sort(F.concat(*parts))
+        out["__pii_all"] = fixed(F.array_sort(F.concat(*parts)))
     keep = [c for c in docs.columns if c.lower() not in OUT]
     return d.select(*(F.col(f"`{c}`") for c in keep), *(v.alias(k) for k, v in out.items()))
 

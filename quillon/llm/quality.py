@@ -19,19 +19,19 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._native import SPACES, let, strip, without, words
+from ._native import SPACES, fixed, let, strip, without, words
 
 BUCKETS = 1 << 14
 #: Bound of the sample of trusted ids (those least by hash): the labelled rows that fit the target.
 TRUSTED = 5000
-THRESHOLD = -0.05
+THRESHOLD = -0.058
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 _W, _H, _G, _T, _D, _P = (f"__quality_{x}" for x in "whgtdp")
 
 
 def _hashes(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    return docs.select(*keep, F.transform(words(docs["text"]), lambda x: F.xxhash64(x)).alias(_H))
+    return docs.select(*keep, fixed(F.transform(words(docs["text"]), lambda x: F.xxhash64(x))).alias(_H))
 
 
 def _bins(buckets: int) -> Column:
@@ -47,8 +47,9 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = 1.0) -> list[float]:
-    """ln(p_target / p_raw) of each bin. `trusted`: distinct doc_id, of bounded number."""
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = 8.0) -> list[float]:
+    """ln(p_target / p_raw) of each bin. `trusted`: distinct doc_id, of bounded number. The target's counts are joined by
+    `prior` counts a bin, spread as in the raw corpus, so that a small target pulls no bin far from it."""
     mark = F.broadcast(trusted.select(F.col("doc_id").alias("__trusted")))
     d = _hashes(docs, [docs["doc_id"]]).join(mark, F.col("doc_id") == F.col("__trusted"), "left")
     grams = d.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode_outer(_bins(buckets)).alias("b"))
@@ -60,8 +61,8 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: floa
     n_raw, n_target = sum(raw), sum(target)
     if not n_target:
         return [0.0] * buckets
-    base = math.log(n_raw + alpha * buckets) - math.log(n_target + alpha * buckets)
-    return [math.log(t + alpha) - math.log(r + alpha) + base for t, r in zip(target, raw, strict=True)]
+    extra = prior * buckets
+    return [math.log((t + extra * r / n_raw) / (n_target + extra)) - math.log(r / n_raw) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def _repeats() -> tuple[Column, Column, Column]:
@@ -86,7 +87,7 @@ def quality(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = _hashes(docs, [*without(docs, *OUT), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), (F.length(text) - F.length(strip(text, "#*$%&|<>"))).cast("long").alias("n_symbols"), F.length(strip(text, SPACES)).cast("long").alias("word_chars")])
     windows, twice, at = _repeats()
-    d = d.withColumn(_G, _bins(buckets)).withColumn(_T, windows).withColumn(_D, twice).withColumn(_P, at)
+    d = d.withColumns({_G: fixed(_bins(buckets)), _T: fixed(windows)}).withColumn(_D, fixed(twice)).withColumn(_P, fixed(at))
     h, p = F.col(_H), F.col(_P)
     n = F.size(h)
     total = F.aggregate(F.col(_G), F.lit(0.0), lambda a, b: a + F.get(table, b))
