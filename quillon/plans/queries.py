@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import checks, documents, ml, vectors
 from ..operators.table import Table
-from ..sources import delta, files, sql, zorder
+from ..sources import avro, delta, files, iceberg, sql, zorder
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +221,34 @@ def delta_changes(spark, sf_dir):
     return delta.changes(spark, at, 1).drop("_commit_timestamp")
 
 
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN 'web' END AS channel FROM orders WHERE o_orderstatus = 'F'")
+def iceberg_evolution(spark, sf_dir):
+    """Identity and bucket partitions, an appended column, a pruned read."""
+    d = table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderstatus")
+    at = _scratch(spark)
+    iceberg.write(d.where("o_orderkey % 2 = 0"), at, ["o_orderstatus", "bucket[4](o_orderkey)"])
+    iceberg.append(d.where("o_orderkey % 2 = 1").withColumn("channel", F.lit("web")), at)
+    return iceberg.read(spark, at, {"o_orderstatus": "F"})
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size <> 7")
+def iceberg_delete(spark, sf_dir):
+    at = _scratch(spark)
+    iceberg.write(table(spark, sf_dir, "part").df.select("p_partkey", "p_size"), at)
+    iceberg.delete(spark, at, {"p_size": 7})
+    iceberg.optimize(spark, at)
+    iceberg.vacuum(at)
+    return iceberg.read(spark, at)
+
+
+@query("SELECT r_name, '{\"k\": ' || r_regionkey || ', \"n\": \"' || r_name || '\"}' AS doc FROM region")
+def avro_envelope(spark, sf_dir):
+    schema = {"type": "record", "name": "r", "fields": [{"name": "k", "type": "long"}, {"name": "n", "type": ["null", "string"]}]}
+    rows = [(r["r_name"], avro.encode({"k": r["r_regionkey"], "n": r["r_name"]}, schema, 1)) for r in table(spark, sf_dir, "region").df.collect()]
+    d = spark.createDataFrame(rows, "r_name string, payload binary")
+    return d.select("r_name", avro.decoded(F.col("payload"), schema).alias("doc"))
+
+
 @query("SELECT l_orderkey, l_partkey FROM lineitem")
 def z_order(spark, sf_dir):
     return zorder.clustered(table(spark, sf_dir, "lineitem").df.select("l_orderkey", "l_partkey"), ["l_orderkey", "l_partkey"], 8)
