@@ -16,7 +16,12 @@ _DEC = r"(?i)^[ \t\n\x0b\f\r]*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """Header row; an empty cell is an empty text, a missing one null. A column is of integers or doubles if all its
     cells are (one aggregation over the file finds out), else text."""
-    df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", quote='"', escape='"', emptyValue="", nullValue="\u0000")
+    options = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "emptyValue": ""}
+    names = spark.read.csv(path, **options).columns
+    bad = "__bad_row"
+    df = spark.read.csv(path, schema=T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]]), columnNameOfCorruptRecord=bad, enforceSchema=True, **options)
+    # the parser gives null for an empty cell and for a missing one; rows of another length are marked
+    df = df.select(*(F.when(F.col(f"`{n}`").isNull() & F.col(bad).isNull(), F.lit("")).otherwise(F.col(f"`{n}`")).alias(n) for n in names))
     if not infer or not df.columns:
         return df
     checks = []
