@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
-A rule has a label, a priority, a keyword and a pattern, all written by hand below. A text is first
-tried against one pattern of anchors; if that hits, only rules whose keyword the text contains are
-run. Of overlapping detections, one whose interval lies within that of a detection of higher rank
+A rule has a label, a priority, a keyword and a pattern, all written by hand below. Only rules whose
+keyword (a part of all that the rule matches) the text contains are run, and those without a keyword
+always. Of overlapping detections, one whose interval lies within that of a detection of higher rank
 (priority, then length, then label) is suppressed.
 
 Base rules: places where the words of a phrase stand one after the other; their labels always stay.
@@ -155,7 +155,6 @@ license-reference | 20 | licensed under | licensed_under_(?:the_)?[a-z0-9.-]{2,3
 license-reference | 20 | released under | released_under_(?:the_)?[a-z0-9.-]{2,30}_licen[cs]e
 license-reference | 20 | spdx-license-identifier | spdx-license-identifier:_[a-z0-9.+-]{2,40}
 """
-ANCHORS = r"licen[cs]|copyright|spdx|permission|redistribut|public domain|public_domain|warrant|commons|gnu|\bcc[0 -]|rights|rechte|droits|derechos|proprietary|©|-[0-9]\.|apache|mozilla|eclipse|\b(?:hpnd|wtfpl|odbl|pddl|sspl|0bsd|beerware|ms-[pr]l|bsd-|mit-0|odc-by|agpl|lgpl|gpl)"
 OUT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
@@ -193,7 +192,7 @@ def rules() -> list[tuple[str, int, str, str]]:
         out += [(label, priority, _keyword(p), p) for priority, p in zip((70, 90, 80), patterns, strict=True)]
     for line in WORDINGS.strip().splitlines():
         label, priority, keyword, p = (x.strip() for x in line.split(" | "))
-        out.append((label, int(priority), keyword.split(" ")[0] if " " in keyword else keyword, p))
+        out.append((label, int(priority), max([*keyword.split(" "), _keyword(p)], key=len), p))
     return [(label, priority, keyword, p.replace("_", r"\s+")) for label, priority, keyword, p in out]
 
 
@@ -208,8 +207,7 @@ def detections(text: Column) -> Column:
         rank = (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & ((lo > ld) | ((lo == ld) & (o["label"] < d["label"]))))
         return (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & rank
 
-    kept = let(found, lambda a: F.filter(a, lambda d: ~F.exists(a, lambda o: above(o, d))))
-    return F.when(text.rlike(ANCHORS), kept).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,label:string,priority:int>>"))
+    return let(found, lambda a: F.filter(a, lambda d: ~F.exists(a, lambda o: above(o, d))))
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,40 @@ def test_license_rules_are_many_and_have_keywords():
     assert len(rules) >= 250 and sum(not k for _, _, k, _ in rules) < 30 and all(re.compile(p) for *_, p in rules)
 
 
+def example(parsed, most):
+    """A text that a parsed pattern matches: optional parts left out, or taken once, by the last alternatives, if `most`."""
+    out = ""
+    for op, v in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(v)
+            case "ANY" | "NOT_LITERAL":
+                out += "x"
+            case "IN":
+                first, what = v[0]
+                out += {"LITERAL": lambda: chr(what), "RANGE": lambda: chr(what[0]), "NEGATE": lambda: "x", "CATEGORY": lambda: " " if str(what) == "CATEGORY_SPACE" else "x"}[str(first)]()
+            case "BRANCH":
+                out += example(v[1][-1 if most else 0], most)
+            case "SUBPATTERN":
+                out += example(v[3], most)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += example(v[2], most) * max(v[0], int(most))
+            case _:
+                assert str(op) == "AT"
+    return out
+
+
+def test_each_license_rule_fires_on_a_text_of_its_own(spark):
+    rules = licenses.rules()
+    texts = [(i, example(re._parser.parse(p), most)) for i, (*_, p) in enumerate(rules) for most in (False, True)]
+    for r in licenses.licenses(spark.createDataFrame(texts, "doc_id int, text string")).collect():
+        label, priority, keyword, p = rules[r["doc_id"]]
+        m = re.search(p, r["text"], re.ASCII)
+        assert m and keyword in m.group(), (label, p, r["text"])
+        # what is left of it is itself or what suppresses it
+        assert any((d["start"], d["end"], d["label"], d["priority"]) == (m.start(), m.end(), label, priority) or (d["start"] <= m.start() and d["end"] >= m.end() and d["priority"] >= priority) for d in r["detections"]), (label, p, r["text"])
+
+
 def luhn(z):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(z[::-1])) % 10 == 0
 
