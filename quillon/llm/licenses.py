@@ -23,7 +23,7 @@ from ._native import fixed, let, matches, without
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-#: label | name pattern | identifier pattern | address pattern. Patterns meet lower-cased text; "_" is any run of white space.
+#: label | name pattern | identifier pattern | address pattern. Patterns meet lower-cased text; "_" is any run of white space, "_?" one or none.
 #: Priorities: identifier 90, address 80, name 70.
 LICENSES = r"""
 0bsd | (?:zero[- ]clause_bsd|bsd_zero[- ]clause)(?:_license)? | \b0bsd\b | (?:opensource\.org/licenses?|spdx\.org/licenses)/0bsd
@@ -193,7 +193,7 @@ def rules() -> list[tuple[str, int, str, str]]:
     for line in WORDINGS.strip().splitlines():
         label, priority, keyword, p = (x.strip() for x in line.split(" | "))
         out.append((label, int(priority), max([*keyword.split(" "), _keyword(p)], key=len), p))
-    return [(label, priority, keyword, p.replace("_", r"\s+")) for label, priority, keyword, p in out]
+    return [(label, priority, keyword, p.replace("_", r"(?:\s+)")) for label, priority, keyword, p in out]
 
 
 def detections(text: Column) -> Column:

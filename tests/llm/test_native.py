@@ -110,6 +110,23 @@ def test_each_license_rule_fires_on_a_text_of_its_own(spark):
         assert any((d["start"], d["end"], d["label"], d["priority"]) == (m.start(), m.end(), label, priority) or (d["start"] <= m.start() and d["end"] >= m.end() and d["priority"] >= priority) for d in r["detections"]), (label, p, r["text"])
 
 
+def test_license_rules_with_optional_spaces(spark):
+    usual = {
+        "MPL-2.0": ("mpl-2.0", 0.9), "MPL 1.1": ("mpl-1.1", 0.9), "Apache License 2.0": ("apache-2.0", 0.7), "Apache License v2.0": ("apache-2.0", 0.7), "Apache License, Version 1.1": ("apache-1.1", 0.7),
+        "GNU General Public License v3.0": ("gpl-3.0", 0.7), "GNU General Public License, version 2": ("gpl-2.0", 0.7), "General Public License v1": ("gpl-1.0", 0.7),
+        "GNU Affero General Public License v3": ("agpl-3.0", 0.7), "GNU Lesser General Public License v2.1": ("lgpl-2.1", 0.7), "Lesser General Public License v3.0": ("lgpl-3.0", 0.7), "Library General Public License v2": ("lgpl-2.0", 0.7),
+        "Mozilla Public License 2.0": ("mpl-2.0", 0.7), "Mozilla Public License v1.1": ("mpl-1.1", 0.7), "Eclipse Public License 2.0": ("epl-2.0", 0.7), "Eclipse Public License - v 1.0": ("epl-1.0", 0.7),
+        "Attribution-ShareAlike 2.0": ("cc-by-sa-2.0", 0.7), "Attribution-ShareAlike 3.0": ("cc-by-sa-3.0", 0.7), "Attribution-ShareAlike 4.0": ("cc-by-sa-4.0", 0.7), "Attribution-Share Alike 4.0": ("cc-by-sa-4.0", 0.7),
+        "Academic Free License v3.0": ("afl-3.0", 0.7), "European Union Public License v1.2": ("eupl-1.2", 0.7), "Open Software License v3.0": ("osl-3.0", 0.7), "Beerware License": ("beerware", 0.7), "Beer-ware license": ("beerware", 0.7),
+        "Common Development and Distribution License 1.1": ("cddl-1.1", 0.7), "Common Development and Distribution License (CDDL) 1.0": ("cddl-1.0", 0.7),
+        "Copyright 2020": ("copyright", 0.3), "Copyright (c) 1999": ("copyright", 0.3), "Copyright (c)2001": ("copyright", 0.3), "©2020": ("copyright", 0.3), "© 2020": ("copyright", 0.3), "provided as is without": ("warranty-disclaimer", 0.35), 'provided "as is" without': ("warranty-disclaimer", 0.35),
+    }
+    for r in licenses.licenses(spark.createDataFrame([(t,) for t in usual], "text string")).collect():
+        label, score = usual[r["text"]]
+        # the detection spans the whole text, the version included
+        assert label in r["labels"].split(",") and r["score"] >= score and any(d["label"] == label and d["end"] == len(r["text"]) for d in r["detections"]), r
+
+
 def luhn(z):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(z[::-1])) % 10 == 0
 
