@@ -142,6 +142,22 @@ def test_passages(docs, corpus):
     assert passages.passages(docs.where("doc_id > 9000")).count() == 0
 
 
+def test_passages_behind_a_common_text(spark):
+    """Exact passages of 60 words, 45 of them common to many documents and too short to be a passage."""
+    r = random.Random(5)
+
+    def new(n):
+        return [f"u{r.randrange(10**9)}" for _ in range(n)]
+
+    common = new(45)
+    rows = [(i, " ".join(new(80) + common + new(80))) for i in range(20)]
+    for i in range(40):
+        shared = new(8) + common + new(7)
+        rows += [(100 + 2 * i + j, " ".join(new(70) + shared + new(70))) for j in (0, 1)]
+    got = {(x["doc_id"], x["other_doc_id"], x["start"], x["end"]) for x in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(100 + 2 * i + j, 101 + 2 * i - j, 70, 130) for i in range(40) for j in (0, 1)}
+
+
 def test_compact_windows_are_maximal():
     rng = random.Random(5)
     h = np.array([rng.randrange(1, 1 << 40) for _ in range(200)], dtype=np.uint64)
