@@ -6,25 +6,42 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import U, mix
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
+    mode (tests); a cluster has to name one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. What shuffles have left on disk
+    is of no more use then; it goes when the driver collects its garbage, so that is asked for here."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -49,7 +66,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         small = small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
-        e = written(small, "edges")
+        old, e = e, written(small, "edges")
+        spent(old)
         after = print_of(e)
         if after == before:
             break
@@ -61,18 +79,38 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return members.union(e.select("b", F.col("b").alias("c")).distinct())
 
 
-def bloom(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """Bits (of fixed number) of pmod(key, bits) for a frame of one long column. A clear bit proves absence."""
-    (c,) = keys.columns
-    at = f"pmod(`{c}`, {bits}L)"
-    rows = keys.selectExpr(f"cast({at} div 64 as int) as w", f"shiftleft(1L, cast({at} % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most bits / 64 rows
+#: Bits of the largest filter (16 MB) and places that a key has in a filter.
+MOST_BITS, PLACES = 1 << 27, 4
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each key (int64), a column for each; bits: a power of two."""
+    h = mix(keys.view(U) + U(0x9E3779B97F4A7C15))
+    step = mix(h) | U(1)
+    return np.column_stack([(h + U(i) * step) & U(bits - 1) for i in range(PLACES)])
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys of a frame of one long column: 16 bits a key, at most MOST_BITS. Beyond that it lets
+    more through; what uses it joins exactly afterwards."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * max(1, n) - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            at = np.unique(_places(b.column(0).to_numpy(), bits))
+            word = (at >> U(6)).astype(np.int32)
+            cut = np.flatnonzero(np.diff(word, prepend=-1))
+            part = np.bitwise_or.reduceat(U(1) << (at & U(63)), cut) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word[cut]), pa.array(part.view(np.int64))], names=["w", "b"])
+
+    words = keys.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MOST_BITS / 64 rows
     out = np.zeros(bits // 64, dtype=np.int64)
-    for r in rows:
-        out[r["w"]] = r["b"]
-    return out.view(np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(U)
 
 
 def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """keys: int64."""
-    at = keys % (len(table) * 64)  # as pmod(): never negative
-    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    """Whether keys (int64) may be among the filter's; False is certain."""
+    at = _places(keys, len(table) * 64)
+    return ((table[at >> U(6)] >> (at & U(63))) & U(1) == 1).all(axis=1)

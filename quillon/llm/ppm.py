@@ -11,13 +11,15 @@ contexts are filled with zero bytes; symbols never seen share the remaining 256
 
 Beside it a base score: words and one end per text, log10((c + 0.5) / (N + 0.5 (V + 1))).
 
-The tables go to the executors in blocks of at most `limit` entries each, by hash of context and word;
-each block scores its own positions of all documents and the parts are summed. Words that occur once
-in training need no entry but where a held-out text has them: in a training text what has no entry
-occurs once, in a held-out text never.
+A symbol's code length depends on its n-gram alone, and a word's term on its count. So the trie is a set of
+tables (a level for each order), and one more table gives the value of each n-gram and word that occurs
+anywhere in the corpus; both are made by joins and aggregations and stay distributed. The `hot` most
+frequent keys' values go to the tasks (a table of bounded size), which sum what they can of each text in one pass; what
+is left of a text, its rare n-grams and words with their counts in it, meets the table in a join by key and is
+summed back to the text. `hot` changes the work, not the result.
 
 Defined results: null is an empty text (one end symbol); a null id counts as training; repeated rows
-each get a row; without training documents every context is unknown. Words by 64-bit hashes.
+each get a row; without training documents every context is unknown. Words by 63-bit, texts of one id by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._stage import written
+from ._stage import spent, written
 from ._text import U, Words, buffers, pieces
 
 ORDER = 5
 END = 0xFF  # in no UTF-8 text
-LIMIT = 1 << 22
-_END_WORD = U(0x5851F42D4C957F2D)
+#: Keys whose values every task has.
+HOT = 1 << 20
+_WORD = U(1 << 63)  # set in the keys of words, never in those of n-grams
+_END_WORD = U(0x5851F42D4C957F2D) | _WORD
+_TEXT = 1 << 62  # set in the rows of whole texts
 
 
 def held_out(doc_id):
@@ -72,51 +77,34 @@ def _tally(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (keys[at], *sums)
 
 
-def _count(docs: DataFrame, of, columns: int, schema: str) -> DataFrame:
-    """Counts by key within tasks, then over all. of(batch): key array and count arrays."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def key_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n): occurrences in training texts of each n-gram and word (ends among them) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in pieces(batches):
-            held.append(of(b))
-            size += len(held[-1][0])
+            train = ~b.column("out").to_numpy(zero_copy_only=False)
+            for key, at in (_symbols(b.column("text"), order), _words(b.column("text"))):
+                held.append(_tally([(key, np.repeat(train, np.diff(at)).astype(np.int64))]))
+                size += len(held[-1][0])
             if size > 1 << 21:
                 held = [_tally(held)]
                 size = len(held[0][0])
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), *(pa.array(x) for x in held[0][1:])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["key", "n"])
                     held, size = [], 0
         if held:
-            t = _tally(held)
-            yield pa.RecordBatch.from_arrays([pa.array(t[0].view(np.int64)), *(pa.array(x) for x in t[1:])], names=names)
+            key, n = _tally(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    d = docs.select(held_out(docs["doc_id"]).alias("out"), "text").mapInArrow(run, schema)
-    return d.groupBy(names[0]).agg(*(F.sum(n).alias(n) for n in names[1:]))
+    d = docs.select(held_out(docs["doc_id"]).alias("out"), "text").mapInArrow(run, "key long, n long")
+    return d.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over the training texts."""
-
-    def of(b):
-        key, _ = _symbols(b.column("text"), order)
-        k, n = np.unique(key, return_counts=True)
-        return k, n.astype(np.int64)
-
-    return _count(docs.where(~held_out(docs["doc_id"])), of, 1, "gram long, n long")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, out): occurrences in training and in held-out texts, ends among them."""
-
-    def of(b):
-        w = Words(b.column("text"))
-        out = b.column("out").to_numpy(zero_copy_only=False)
-        each = np.repeat(out, np.diff(w.at)).astype(np.int64)
-        keys = np.concatenate([w.hash, np.array([_END_WORD])])
-        return _tally([(keys, np.append(1 - each, int((~out).sum())), np.append(each, int(out.sum())))])
-
-    return _count(docs, of, 2, "word long, n long, out long")
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words and the end of each text; each text's first."""
+    w = Words(column)
+    return np.insert(w.hash | _WORD, w.at[1:], _END_WORD), w.at + np.arange(len(w.at))
 
 
 class Table:
@@ -153,134 +141,130 @@ class Table:
         return values, found
 
 
-class Model:
-    """The trie of a block: for each order the n-grams' counts, and of each context T, D and what escaping to its suffix leaves out."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int):
-        self.order = order
-        self.levels = []  # from order 0
-        lower = None
-        for k in range(order + 1):
-            if k <= 2:
-                g, c = _tally([(low[0] & U((1 << 8 * (k + 1)) - 1), low[1])])
-            else:
-                g, c = _tally([(grams & U((1 << 8 * (k + 1)) - 1), n)])
-            context = g >> U(8)
-            at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
-            total = np.add.reduceat(c, at) if len(at) else c
-            kinds = np.diff(np.append(at, len(g)))
-            if lower is None:
-                gone = np.zeros(len(at), dtype=np.int64)
-            else:
-                i = np.searchsorted(lower[0], g & U((1 << 8 * k) - 1))
-                gone = np.add.reduceat(lower[1][i], at) if len(at) else c
-            self.levels.append((g, c, context[at], total, kinds, gone))
-            lower = (g, c)
-        g, c, context, total, kinds, _ = self.levels[order]
-        i = np.searchsorted(context, g >> U(8))
-        self.top = Table(g, np.log10(c / (total[i] + kinds[i])) if len(g) else np.zeros(0), c)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        out, found = self.top.get(keys)
-        left = np.flatnonzero(~found)
-        key = keys[left]
-        gone, gone_kinds = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
-        for k in range(self.order, -1, -1):
-            g, c, context, total, kinds, lost = self.levels[k]
-            if not len(left):
-                return out
-            if not len(g):
-                continue
-            gram = key & U((1 << 8 * (k + 1)) - 1)
-            i = np.minimum(np.searchsorted(context, gram >> U(8)), len(context) - 1)
-            known = context[i] == gram >> U(8)
-            t, d = total[i] - gone, kinds[i] - gone_kinds
-            j = np.minimum(np.searchsorted(g, gram), len(g) - 1)
-            hit = known & (g[j] == gram)
-            out[left[hit]] += np.log10(c[j[hit]] / (t[hit] + d[hit]))
-            escapes = known & ~hit & (t > 0)
-            out[left[escapes]] += np.log10(d[escapes] / (t[escapes] + d[escapes]))
-            gone, gone_kinds = np.where(known, lost[i], 0)[~hit], np.where(known, kinds[i], 0)[~hit]
-            left, key = left[~hit], key[~hit]
-        if len(left):
-            out[left] -= math.log10(256 - len(self.levels[0][0]))
-        return out
-
-
-def _packed(df: DataFrame) -> list[np.ndarray]:
-    t = df.toArrow()
-    return [t.column(i).to_numpy() for i in range(t.num_columns)]
-
-
-def score(docs: DataFrame, order: int = ORDER, limit: int = LIMIT) -> DataFrame:
+def _gram(k: int, of: str = "g") -> Column:
+    """The n-gram of order k (k bytes and a symbol) at the end of a longer one."""
+    return F.col(of).bitwiseAND((1 << 8 * (k + 1)) - 1)
+
+
+def _bounded(level: DataFrame, bytes_: int) -> DataFrame:
+    """A table by keys of so many bytes: with up to two it has at most 2 ** 16 rows and may go to all tasks."""
+    return F.broadcast(level) if bytes_ <= 2 else level
+
+
+def trie(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order the n-grams' counts (g, c), and of each context (x, total, kinds, lost): T, D, and what escaping
+    to its suffix leaves out of that one's T."""
+    grams = [written(counts.where("key >= 0 and n > 0").select(F.col("key").alias("g"), F.col("n").alias("c")), "level")]
+    for k in range(order - 1, -1, -1):
+        grams.insert(0, written(grams[0].groupBy(_gram(k).alias("g")).agg(F.sum("c").alias("c")), "level"))
+    levels = []
+    for k, g in enumerate(grams):
+        if k:
+            lower = _bounded(grams[k - 1].select(F.col("g").alias("s"), F.col("c").alias("l")), k)
+            g = g.withColumn("s", _gram(k - 1)).join(lower, "s")
+        else:
+            g = g.withColumn("l", F.lit(0).cast("long"))
+        contexts = g.groupBy(F.shiftright("g", 8).alias("x")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("l").alias("lost"))
+        levels.append((grams[k], written(contexts, "contexts")))
+    return levels
+
+
+def values(counts: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, n, value): log10 of the probability of each n-gram's symbol in its context; for words that occur in training their count."""
+    order = len(levels) - 1
+    grams, contexts = levels[order]
+    known = grams.withColumn("x", F.shiftright("g", 8)).join(contexts, "x")
+    out = known.select(F.col("g").alias("key"), F.col("c").alias("n"), F.log10(F.col("c") / (F.col("total") + F.col("kinds"))).alias("value"))
+    out = out.unionAll(counts.where("key < 0 and n > 0").select("key", "n", F.col("n").cast("double").alias("value")))
+    zero = F.lit(0).cast("long")
+    left = counts.where("key >= 0 and n = 0").select("key", F.lit(0.0).alias("value"), zero.alias("gone"), zero.alias("gone_kinds"))
+    for k in range(order, -1, -1):
+        grams, contexts = levels[k]
+        d = left.withColumn("g", _gram(k, "key")).withColumn("x", F.shiftright("g", 8))
+        d = d.join(_bounded(contexts, k), "x", "left").join(_bounded(grams, k + 1), "g", "left")
+        total, kinds = F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
+        code = F.when(F.col("c").isNotNull(), F.log10(F.col("c") / (total + kinds))).when(total > 0, F.log10(kinds / (total + kinds))).otherwise(0.0)
+        d = d.select("key", (F.col("value") + code).alias("value"), F.coalesce("lost", zero).alias("gone"), F.coalesce("kinds", zero).alias("gone_kinds"), F.col("c").isNotNull().alias("coded"))
+        d = written(d, "escapes")
+        out = out.unionAll(d.where("coded").select("key", zero.alias("n"), "value"))
+        left = d.where("not coded").drop("coded")
+    symbols = levels[0][0].count()  # at most 256
+    return out.unionAll(left.select("key", zero.alias("n"), (F.col("value") - math.log10(256 - symbols)).alias("value")))
+
+
+def _grade(n: Column) -> Column:
+    """A number that grows with n: n itself below 256, then in steps of a sixteenth of a doubling (under 1,200 of them)."""
+    return F.when(n < 256, n).otherwise(F.floor(16 * F.log2(n)) + 128).cast("int")
+
+
+def hottest(table: DataFrame, hot: int) -> tuple[Table, int]:
+    """The values of the most frequent keys, at most `hot`, and the least grade of their counts."""
+    sizes = {r["q"]: r["m"] for r in table.where("n > 0").groupBy(_grade(F.col("n")).alias("q")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    least, size = max(sizes, default=0) + 1, 0
+    for q in sorted(sizes, reverse=True):
+        if size + sizes[q] > hot:
+            break
+        least, size = q, size + sizes[q]
+    t = table.where((F.col("n") > 0) & (_grade(F.col("n")) >= least)).select("key", "n", "value").toArrow()  # at most `hot` rows
+    return Table(t.column("key").to_numpy().view(U), t.column("value").to_numpy(), t.column("n").to_numpy()), least
+
+
+def score(docs: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams, words = written(gram_counts(docs, order), "grams"), written(word_counts(docs), "words")
-    entries = words.where("n > 1 or (n = 1 and out > 0)")
-    n_grams, n_words = grams.count(), entries.count()
-    tokens, vocabulary = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    blocks = max(1, -(-n_grams // limit), -(-n_words // limit))
-    low = _packed(grams.groupBy(F.expr("gram & 16777215").alias("gram")).agg(F.sum("n").alias("n")))  # at most 2 ** 24 rows
-    low = (low[0].view(U), low[1].astype(np.int64))
+    counts = written(key_counts(docs, order), "counts")
+    tokens, vocabulary = counts.where("key < 0 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     base = math.log10(tokens + 0.5 * (vocabulary + 1))
-    names = ["doc_id", "th", "block", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    schema = "doc_id long, th long, block int, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-    def run_block(block: int) -> DataFrame:
-        # contexts of one suffix of three bytes stay together, and so do their shorter forms
-        mine = F.pmod(F.xxhash64(F.expr("(gram >> 8) & 16777215")), F.lit(blocks)) == block
-        g = _packed(grams.where(mine).select("gram", "n"))
-        w = _packed(entries.where(F.pmod("word", F.lit(blocks)) == block).select("word", "n"))
-        parts = (g[0].view(U), g[1].astype(np.int64), w[0].view(U), w[1].astype(np.int64))
-        cache: list = []
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not cache:
-                n = parts[3]
-                cache.extend([Model(parts[0], parts[1], low, order), Table(parts[2], n.astype(np.int32), n)])
-            model, table = cache
-            for b in pieces(batches):
-                out = b.column("out").to_numpy(zero_copy_only=False)
-                key, at = _symbols(b.column("text"), order)
-                if blocks == 1:
-                    value = model.log10(key)
-                else:
-                    suffix, back = np.unique(key >> U(8) & U(0xFFFFFF), return_inverse=True)
-                    own = _mine(suffix, blocks, block)[back]
-                    value = np.zeros(len(key))
-                    value[own] = model.log10(key[own])
-                total = np.add.reduceat(value, at[:-1])
-                w = Words(b.column("text"))
-                ends = w.at[1:] + np.arange(w.n_texts)
-                words_ = np.insert(w.hash, w.at[1:], _END_WORD)
-                n_tokens = np.diff(w.at) + 1
-                each = np.repeat(out, n_tokens)
-                c, found = table.get(words_)
-                c = np.where(found, c, np.where(each, 0, 1)).astype(np.float64)
-                own = words_.view(np.int64) % blocks == block
-                logs = np.where(own, np.log10(c + 0.5) - base, 0.0)
-                first = ends - n_tokens + 1
-                known = np.add.reduceat((own & (c > 0)).astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.full(len(out), block, dtype=np.int32)), pa.array(out), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(np.add.reduceat(logs, first)), pa.array(total)], names=names)
-
-        return docs.select("doc_id", F.xxhash64("text").alias("th"), held_out(docs["doc_id"]).alias("out"), "text").mapInArrow(run, schema)
-
-    out = run_block(0)
-    if blocks > 1:
-        for i in range(1, blocks):
-            out = out.unionAll(run_block(i))
-        # equal rows have equal parts: they are counted, summed once, and told apart again
-        part = out.groupBy("doc_id", "th", "block").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in names[3:]))
-        out = part.groupBy("doc_id", "th").agg(F.first("m").alias("m"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in names[5:]))
-        out = out.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _mine(suffix: np.ndarray, blocks: int, block: int) -> np.ndarray:
-    """As pmod(xxhash64(suffix), blocks) = block in Spark: seed 42 over 8 bytes, little end first."""
-    import xxhash
-
-    return np.array([(h - (h >> 63 << 64)) % blocks == block for h in (xxhash.xxh64_intdigest(int(s).to_bytes(8, "little"), 42) for s in suffix.tolist())], dtype=bool)
+    levels = trie(counts, order)
+    table = written(values(counts, levels), "values")
+    spent(counts, *(t for level in levels for t in level))
+    near, least = hottest(table, hot)
+    names = ["doc_id", "th", "key", "m", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            n = b.num_rows
+            sums, rest = [], []
+            for key, at in (_symbols(b.column("text"), order), _words(b.column("text"))):
+                value, found = near.get(key)
+                far = np.flatnonzero(~found)
+                of = np.searchsorted(at, far, "right") - 1
+                by = np.lexsort((key[far], of))
+                of, cold = of[by], key[far][by]
+                cut = np.flatnonzero(np.concatenate([[True], (cold[1:] != cold[:-1]) | (of[1:] != of[:-1])])) if len(cold) else np.zeros(0, dtype=np.int64)
+                rest.append((of[cut], cold[cut], np.diff(np.append(cut, len(cold)))))
+                sums.append((value, found, at))
+            (value, _, at), (count, found, words) = sums
+            total = np.add.reduceat(value, at[:-1])
+            logs = np.add.reduceat(np.where(found, np.log10(count + 0.5) - base, 0.0), words[:-1])
+            known = np.add.reduceat(found.astype(np.int64), words[:-1])
+            th = b.column("th").to_numpy()
+            of = np.concatenate([rest[0][0], rest[1][0]])
+            who = pa.array(np.concatenate([np.arange(n), of]))
+            key = np.concatenate([th & (_TEXT - 1) | _TEXT, rest[0][1].view(np.int64), rest[1][1].view(np.int64)])
+            m = np.concatenate([np.ones(n, dtype=np.int64), rest[0][2], rest[1][2]])
+            more = len(of)
+            texts = [pa.array(x, pa.int64()) for x in (np.diff(words), known)] + [pa.array(x) for x in (logs, total)]
+            columns = [pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (b.column("out"), *texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(who), b.column("th").take(who), pa.array(key), pa.array(m), *columns], names=names)
+
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), held_out(docs["doc_id"]).alias("out"), "text")
+    d = d.mapInArrow(run, "doc_id long, th long, key long, m long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    rare = table.where((F.col("n") == 0) | (_grade(F.col("n")) < least)).select("key", "value")
+    d = d.join(rare, "key", "left")
+    m, whole, word = F.col("m"), F.col("n_tokens").isNotNull(), F.col("key") < 0
+    count = F.coalesce("value", F.lit(0.0))
+    d = d.groupBy("doc_id", "th").agg(
+        F.count("n_tokens").alias("copies"),
+        F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(whole, F.col("n_known")).when(word & (count > 0), m).otherwise(0)).alias("n_known"),
+        F.sum(F.when(whole, F.col("base_score")).when(word, m * (F.log10(count + 0.5) - F.lit(base))).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(whole, F.col("score")).when(word, 0.0).otherwise(m * F.col("value"))).alias("score"),
+    )
+    # equal rows have equal parts, all of them summed here; they are told apart again
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return d.select("doc_id", "held_out", "n_tokens", F.expr("n_known div copies").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
 
 
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
