@@ -51,8 +51,8 @@ def test_words_and_pieces():
     assert Words(pa.array(["ABC x"])).hash[0] == Words(pa.array(["q abc"])).hash[1]
 
 
-@pytest.mark.parametrize("large", [64, 2])
-def test_jaccard(docs, corpus, large):
+@pytest.mark.parametrize(("large", "block"), [(64, 512), (2, 512), (2, 3)])
+def test_jaccard(docs, corpus, large, block):
     sets = {}
     for i, t in corpus:
         w = words(t)
@@ -71,7 +71,7 @@ def test_jaccard(docs, corpus, large):
             if x < y and any(a and b and 100 * len(a & b) >= 80 * len(a | b) for a in sets[x] for b in sets[y]):
                 p, q = top(x), top(y)
                 root[max(p, q)] = min(p, q)
-    got = jaccard.jaccard_components(docs, large=large).collect()
+    got = jaccard.jaccard_components(docs, large=large, block=block).collect()
     assert len(got) == len(corpus)
     for r in got:
         if r["doc_id"] is None:
@@ -79,11 +79,76 @@ def test_jaccard(docs, corpus, large):
         else:
             assert r["component_id"] == top(r["doc_id"]) and r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
     if large == 64:
-        kept = {r["doc_id"] for r in jaccard.one_of_each(docs).collect()}
-        assert kept == {top(i) for i in root} | {None}
         assert jaccard.jaccard_components(docs.where("false")).count() == 0
 
 
+def similar_sets(texts):
+    """Sets of shingles by text, and the least index of each text's group of near duplicates."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append(frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                p, q = top(x), top(y)
+                root[max(p, q)] = min(p, q)
+    return sets, [top(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("large", [64, 2])
+def test_one_of_each(spark, corpus, large):
+    """By rows: repeated ids with other texts stay, null ids too; one row of each group, that of the least id."""
+    rows = [*corpus, (3, "another text under the id of three that is like no other one"), (None, corpus[1][1]), (None, "only here is this text without an id found"), (4, corpus[4][1])]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("k1", F.lit("clash")).repartition(3), large=large).collect()]
+    sets, group = similar_sets([t for _, t in rows])
+    want = defaultdict(list)
+    for (i, t), s, g in zip(rows, sets, group, strict=True):
+        want[g if s else (i, t)].append((i, t))
+    assert len(got) == len(want)
+    for members in want.values():
+        ids = [i for i, _ in members if i is not None]
+        kept = [x for x in got if x in members]
+        assert len(kept) == 1 and (kept[0][0] == min(ids) if ids else kept[0][0] is None)
+    assert jaccard.one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_hot_clusters_across_components(spark):
+    """A chain of texts that share a common part: clusters that large buckets connect hold several components."""
+    r = random.Random(9)
+    base = [f"c{i}" for i in range(60)]
+    rows, n = [], 0
+    for g in range(6):
+        mine = list(base)
+        for p in r.sample(range(60), 8):
+            mine[p] = f"g{g}x{p}"
+        for _ in range(12):
+            w = list(mine)
+            w[r.randrange(60)] = f"v{n}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    _, group = similar_sets([t for _, t in rows])
+    for large, block in ((2, 5), (4, 512)):
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), large=large, block=block).collect()}
+        assert [got[i] for i in range(n)] == group
+
+
+def test_bitmap_bounds_the_difference():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(r.integers(1, 3000))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 1 << 62, n // 8).astype(np.uint64)]))
+        assert jaccard.differing(jaccard.bitmap(a), jaccard.bitmap(b)) <= len(np.setxor1d(a, b))
+
+
 def gst(a, b, k):
     ua, ub, total = [False] * len(a), [False] * len(b), 0
     while True:
@@ -236,8 +301,11 @@ def test_ppm(spark, corpus):
         return total
 
     want = sorted((str(i), out(i), len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), 0]), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(t), 0]), 6), round(code(t or ""), 6)) for i, t in rows)
-    for limit in (1 << 22, 900):
-        assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in ppm.score(docs, order=3, limit=limit).collect()) == want
+    for hot in (1 << 20, 300, 0):
+        assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in ppm.score(docs, order=3, hot=hot).collect()) == want
+    untrained = ppm.score(docs.where("doc_id = 9010 or crc32(cast(doc_id as string)) % 5 = 1").where("crc32(cast(doc_id as string)) % 5 = 1"), order=3).collect()
+    assert untrained and all(r["held_out"] and r["train_tokens"] == r["n_known"] == 0 for r in untrained)
+    assert all(r["score"] == pytest.approx(-math.log10(256) * (len((t or "").encode()) + 1)) for r in untrained for i, t in rows if i == r["doc_id"] and i != 3)
     assert ppm.score(docs.where("false"), order=3).count() == 0
 
 
