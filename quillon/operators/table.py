@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.expressions import compile_value, predicate
+from ..sources.shared import written
 
 ORD = "__ord"
 AGGREGATES = {"count": "count", "contar": "count", "sum": "sum", "somar": "sum", "mean": "mean", "media": "mean", "min": "min", "max": "max"}
@@ -102,29 +104,34 @@ class Table:
     # sampling, splits, shards: by row number, which repeats exactly
 
     def _numbered(self) -> DataFrame:
-        """Row numbers 0, 1, ... in the current order: counts by partition are added up, so no task sees all rows."""
-        d = self.df.withColumn("__part", F.spark_partition_id()).withColumn(ORD, F.monotonically_increasing_id())
-        sizes = sorted(d.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first")).collect(), key=lambda r: r["__part"])
+        """Row numbers 0, 1, ... in the current order: counts by partition are added up, so no task sees all rows.
+
+        The rows are written once, each with its partition's number, and both the counts and the result read that: two
+        runs of a plan needn't cut its rows into the same partitions (a sort samples its bounds anew)."""
+        d = written(self.df.withColumn(ORD, F.monotonically_increasing_id()), "numbered")
+        part = F.shiftright(ORD, 33)
+        sizes = sorted(d.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first")).collect(), key=lambda r: r["p"])  # one row a partition
         base, total = [], 0
         for r in sizes:
-            base.append((r["__part"], total - r["first"]))
+            base.append((r["p"], total - r["first"]))
             total += r["n"]
-        shift = F.broadcast(self.df.sparkSession.createDataFrame(base or [(-1, 0)], "__part int, __shift long"))  # one row a partition
-        return d.join(shift, "__part").withColumn(ORD, F.col(ORD) + F.col("__shift")).drop("__part", "__shift")
+        shift = self.df.sparkSession.createDataFrame(base or [(-1, 0)], "__part long, __shift long")
+        shift = F.broadcast(shift) if len(base) < 1 << 20 else shift
+        return d.withColumn("__part", part).join(shift, "__part").withColumn(ORD, F.col(ORD) + F.col("__shift")).drop("__part", "__shift")
 
     def shard(self, n: int, k: int) -> Table:
-        return self._with(self._numbered().where(F.pmod(F.col(ORD), F.lit(n)) == k).drop(ORD))
+        return self._with(self._numbered().where(F.pmod(F.col(ORD), F.lit(n)) == k).orderBy(ORD).drop(ORD))
 
     def fold(self, n: int, k: int) -> tuple[Table, Table]:
         """Train and test tables of fold k of n."""
         d = self._numbered()
         test = F.pmod(F.col(ORD), F.lit(n)) == k
-        return self._with(d.where(~test).drop(ORD)), self._with(d.where(test).drop(ORD))
+        return self._with(d.where(~test).orderBy(ORD).drop(ORD)), self._with(d.where(test).orderBy(ORD).drop(ORD))
 
     def split(self, share: float = 0.8, seed: int = 42) -> tuple[Table, Table]:
         """A random but repeatable split by a hash of row number and seed."""
         d = self._numbered().withColumn("__u", F.pmod(F.xxhash64(F.col(ORD), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-        return self._with(d.where("__u").drop(ORD, "__u")), self._with(d.where("not __u").drop(ORD, "__u"))
+        return self._with(d.where("__u").orderBy(ORD).drop(ORD, "__u")), self._with(d.where("not __u").orderBy(ORD).drop(ORD, "__u"))
 
     def sample(self, n: int, by: str | None = None, seed: int = 42) -> Table:
         """n rows by least hash of row number and seed; with `by`, quotas in proportion to its groups (largest remainders)."""
@@ -132,17 +139,23 @@ class Table:
         if not by:
             return self._with(d.orderBy("__u", ORD).limit(n).orderBy(ORD).drop(ORD, "__u"))
         key = V.display(V.column(by, self.df.schema))
-        sizes = {r["k"]: r["n"] for r in d.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(sizes.values())
-        exact = {k: n * c / total for k, c in sizes.items()}
-        quota = {k: int(x) for k, x in exact.items()}
-        for k in sorted(exact, key=lambda k: (-(exact[k] - quota[k]), k))[: min(n, total) - sum(quota.values())]:
-            quota[k] += 1
-        parts = [d.where(key == k).orderBy("__u", ORD).limit(q) for k, q in quota.items() if q]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return self._with(out.orderBy(ORD).drop(ORD, "__u"))
+        d = d.withColumn("__k", key)
+        sizes = d.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+        total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+        # whole quotas, then one more for the largest remainders; all of it by group, however many there are
+        exact = F.lit(n).cast("decimal(20,0)") * F.col("__n") / F.lit(max(total, 1)).cast("decimal(20,0)")
+        sizes = sizes.withColumn("__q", F.floor(exact).cast("long")).withColumn("__r", exact - F.col("__q"))
+        left = min(n, total) - (sizes.agg(F.coalesce(F.sum("__q"), F.lit(0))).first()[0])
+        more = sizes.orderBy(F.desc("__r"), "__k").limit(max(left, 0)).select(F.col("__k").alias("__k2"))
+        quota = sizes.join(more, sizes["__k"] == more["__k2"], "left").select("__k", (F.col("__q") + F.col("__k2").isNotNull().cast("long")).alias("__q"))
+        # a first cut by hash keeps the ranked rows few: the least that is sure to hold the quota is found by counts of hash ranges
+        low = F.pmod(F.shiftrightunsigned("__u", 44), F.lit(1 << 20))
+        ranges = d.groupBy("__k", low.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+        reached = ranges.withColumn("__s", F.sum("__n").over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)))
+        cut = reached.join(quota, "__k").where(F.coalesce("__s", F.lit(0)) < F.col("__q")).groupBy("__k").agg(F.max("__b").alias("__most"), F.max("__q").alias("__q"))
+        near = d.withColumn("__b", low).join(cut, "__k").where("__b <= __most")
+        ranked = near.withColumn("__i", F.row_number().over(W.partitionBy("__k").orderBy("__b", "__u", ORD))).where("__i <= __q")
+        return self._with(ranked.orderBy(ORD).select(*(F.col(f"`{c}`") for c in self.df.columns)))
 
     # beyond the row algebra
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from ..functions import values as V
 from ..operators import checks, documents, ml, vectors
 from ..operators.table import Table
 from ..sources import avro, delta, files, iceberg, sql, zorder
+from ..sources.shared import scratch
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,12 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
     return Table(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for a table that a query writes and reads: beside the shared checkpoints where they are on a plain path."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    return tempfile.mkdtemp(prefix="quillon-", dir=base if base and os.path.isdir(base) else None)
-
-
 @query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sum_qty, sum(l_extendedprice) / count(*) AS mean_price, min(l_discount) AS min_disc, max(l_discount) AS max_disc FROM lineitem WHERE l_quantity >= 25 GROUP BY l_returnflag")
 def flagship(spark, sf_dir):
     """filter, then group with all five aggregates."""
@@ -195,7 +188,7 @@ def cursor_batches(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS channel FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'web' FROM orders WHERE o_orderkey % 2 = 1")
 def delta_evolution(spark, sf_dir):
     d = table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderstatus", "o_totalprice")
-    at = _scratch(spark)
+    at = scratch(spark)
     delta.write(d.where("o_orderkey % 2 = 0"), at, partition_by="o_orderstatus")
     delta.append(d.where("o_orderkey % 2 = 1").withColumn("channel", F.lit("web")), at)
     return delta.read(spark, at)
@@ -204,7 +197,7 @@ def delta_evolution(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def delta_pruned_time_travel(spark, sf_dir):
     d = table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderstatus")
-    at = _scratch(spark)
+    at = scratch(spark)
     delta.write(d, at, partition_by="o_orderstatus")
     delta.append(d.limit(10), at)
     delta.optimize(spark, at)
@@ -215,7 +208,7 @@ def delta_pruned_time_travel(spark, sf_dir):
 @query("SELECT s_suppkey, 'insert' AS _change_type, 1 AS _commit_version FROM supplier WHERE s_suppkey % 3 = 0")
 def delta_changes(spark, sf_dir):
     d = table(spark, sf_dir, "supplier").df.select("s_suppkey")
-    at = _scratch(spark)
+    at = scratch(spark)
     delta.write(d.where("s_suppkey % 3 <> 0"), at)
     delta.append(d.where("s_suppkey % 3 = 0"), at)
     return delta.changes(spark, at, 1).drop("_commit_timestamp")
@@ -225,7 +218,7 @@ def delta_changes(spark, sf_dir):
 def iceberg_evolution(spark, sf_dir):
     """Identity and bucket partitions, an appended column, a pruned read."""
     d = table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderstatus")
-    at = _scratch(spark)
+    at = scratch(spark)
     iceberg.write(d.where("o_orderkey % 2 = 0"), at, ["o_orderstatus", "bucket[4](o_orderkey)"])
     iceberg.append(d.where("o_orderkey % 2 = 1").withColumn("channel", F.lit("web")), at)
     return iceberg.read(spark, at, {"o_orderstatus": "F"})
@@ -233,7 +226,7 @@ def iceberg_evolution(spark, sf_dir):
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size <> 7")
 def iceberg_delete(spark, sf_dir):
-    at = _scratch(spark)
+    at = scratch(spark)
     iceberg.write(table(spark, sf_dir, "part").df.select("p_partkey", "p_size"), at)
     iceberg.delete(spark, at, {"p_size": 7})
     iceberg.optimize(spark, at)
@@ -256,14 +249,14 @@ def z_order(spark, sf_dir):
 
 @query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def csv_round_trip(spark, sf_dir):
-    at = _scratch(spark) + "/t"
+    at = scratch(spark) + "/t"
     files.write_csv(table(spark, sf_dir, "customer").df.select("c_custkey", "c_acctbal", "c_mktsegment"), at)
     return files.read_csv(spark, at)
 
 
 @query("SELECT r_regionkey, r_name FROM region")
 def json_round_trip(spark, sf_dir):
-    at = _scratch(spark) + "/t.json"
+    at = scratch(spark) + "/t.json"
     files.write_json(table(spark, sf_dir, "region").df, at)
     return files.read_json(spark, at)
 
@@ -275,7 +268,7 @@ def parquet_iso_text(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def sql_pushdown(spark, sf_dir):
-    url = f"sqlite://{_scratch(spark)}/t.db"
+    url = f"sqlite://{scratch(spark)}/t.db"
     rows = [tuple(r) for r in table(spark, sf_dir, "nation").df.collect()]
     sql.execute(url, "CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
     sql.transaction(url, [{"sql": "INSERT INTO nation VALUES (?, ?, ?)", "params": list(r)} for r in rows])

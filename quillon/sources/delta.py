@@ -1,7 +1,7 @@
 """Delta tables without a connector: the driver replays and writes the JSON log, Spark reads and writes the data.
 
 Covers overwrite, append with schema evolution (new columns, int to long, float to double), Hive
-partitions, pruning by equality, time travel, change feed, compaction, vacuum and checkpoints to read from.
+partitions, pruning by equality, time travel, change feed, deletion vectors, compaction, vacuum and checkpoints.
 Paths are of a file system that the driver sees.
 """
 
@@ -9,17 +9,23 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
 from collections.abc import Mapping
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import zorder
+from . import bitmaps, zorder
+from .shared import spent, written
 
+CHECKPOINT_EVERY = 10
 WIDER = {("integer", "long"), ("short", "long"), ("byte", "long"), ("float", "double"), ("short", "integer"), ("byte", "integer"), ("byte", "short")}
 
 
@@ -27,6 +33,12 @@ class Conflict(Exception):
     """Another writer took the version."""
 
 
+def _identity(file: dict) -> tuple:
+    """What a file of the log is known by: its path and its deletion vector."""
+    v = file.get("deletionVector") or {}
+    return file["path"], v.get("storageType"), v.get("pathOrInlineDv"), v.get("offset")
+
+
 class State:
     """What the log says at a version."""
 
@@ -43,9 +55,9 @@ class State:
 
     def apply(self, action: dict) -> None:
         if "add" in action and action["add"]:
-            self.files[action["add"]["path"]] = action["add"]
+            self.files[_identity(action["add"])] = action["add"]
         elif "remove" in action and action["remove"]:
-            self.files.pop(action["remove"]["path"], None)
+            self.files.pop(_identity(action["remove"]), None)
         elif "metaData" in action and action["metaData"]:
             self.meta = action["metaData"]
         elif "protocol" in action and action["protocol"]:
@@ -65,21 +77,21 @@ def _actions(path: str, version: int) -> list[dict]:
         return [json.loads(line) for line in f if line.strip()]
 
 
+def _plain(x):
+    """Maps of a checkpoint as dicts, and without what is null."""
+    if isinstance(x, dict):
+        return {k: dict(v) if k in ("partitionValues", "tags", "configuration", "options") and isinstance(v, list) else _plain(v) for k, v in x.items() if v is not None}
+    return x
+
+
 def replay(path: str, version: int | None = None) -> State:
     s = State()
     every = versions(path)
     checkpoints = sorted(f for f in (os.listdir(_log(path)) if os.path.isdir(_log(path)) else []) if f.endswith(".checkpoint.parquet"))
     checkpoints = [f for f in checkpoints if version is None or int(f[:20]) <= version]
     if checkpoints:
-        import pyarrow.parquet as pq
-
         for row in pq.read_table(os.path.join(_log(path), checkpoints[-1])).to_pylist():
-            a = {k: v for k, v in row.items() if v is not None}
-            for v in a.values():
-                for k in ("partitionValues", "tags", "configuration"):
-                    if isinstance(v, dict) and isinstance(v.get(k), list):
-                        v[k] = dict(v[k])
-            s.apply(a)
+            s.apply(_plain({k: v for k, v in row.items() if v is not None}))
         s.version = int(checkpoints[-1][:20])
     for v in every:
         if v > s.version and (version is None or v <= version):
@@ -99,22 +111,97 @@ def _matches(value: str | None, want, t: T.DataType) -> bool:
     return value == (str(want).lower() if isinstance(want, bool) else str(want))
 
 
-def _scan(spark: SparkSession, path: str, adds: list[dict], schema: T.StructType, partitions: list[str]) -> DataFrame:
-    if not adds:
-        return spark.createDataFrame([], schema)
+def _decoded(c: Column) -> Column:
+    """A path or value without its escapes; "+" stands for itself in paths."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def _at(c: str) -> Column:
+    """A plain path from a file's URI."""
+    return _decoded(F.regexp_replace(c, "^file:/*", "/"))
+
+
+def _full(path: str, file: dict) -> str:
+    return os.path.abspath(os.path.join(path, unquote(file["path"])))
+
+
+def _named(file: dict, partitions: list[str]) -> bool:
+    """Whether the folders of a file's path spell its partition values."""
+    found = {}
+    for part in unquote(file["path"]).split("/")[:-1]:
+        k, eq, v = part.partition("=")
+        if eq:
+            found[unquote(k)] = None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)
+    return all(p in found and found[p] == file["partitionValues"].get(p) for p in partitions)
+
+
+def _files(spark: SparkSession, path: str, files: list[dict], schema: T.StructType, partitions: list[str]) -> DataFrame:
+    """The rows of whole data files, with __file and __row. Partition values are those of the log: read off the folder
+    names where all of them agree with it, else joined by path."""
     data = T.StructType([f for f in schema.fields if f.name not in partitions])
-    paths = [os.path.join(path, unquote(a["path"])) for a in adds]
-    if any(a.get("deletionVector") for a in adds):
-        raise NotImplementedError("deletion vectors")
-    df = spark.read.schema(data).parquet(*paths)
-    if partitions:
-        # partition values come from the file's own folder names
-        at = F.input_file_name()
+    df = spark.read.schema(data).parquet(*(_full(path, f) for f in files))
+    df = df.select(*(F.col(f"`{f.name}`") for f in data.fields), _at("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    if all(_named(f, partitions) for f in files):
         for p in partitions:
-            raw = F.url_decode(F.regexp_extract(at, rf"/{quote(p)}=([^/]*)/", 1))
-            raw = F.when(raw == "__HIVE_DEFAULT_PARTITION__", None).otherwise(F.url_decode(raw))
+            raw = F.regexp_extract("__file", rf"/{re.escape(_escaped(p))}=([^/]*)/", 1)
+            raw = F.when(raw == "__HIVE_DEFAULT_PARTITION__", None).otherwise(_decoded(raw))
             df = df.withColumn(p, raw.cast(schema[p].dataType))
-    return df.select(*schema.names)
+    else:
+        names = [f"__p{i}" for i in range(len(partitions))]
+        known = spark.createDataFrame([(_full(path, f), *(f["partitionValues"].get(p) for p in partitions)) for f in files], T.StructType([T.StructField(n, T.StringType()) for n in ("__file", *names)]))
+        df = df.join(known, "__file", "left").withColumns({p: F.col(n).cast(schema[p].dataType) for p, n in zip(partitions, names, strict=True)})
+    return df.select(*(F.col(f"`{n}`") for n in schema.names), "__file", "__row")
+
+
+def _escaped(name: str) -> str:
+    """As the writer escapes a column's name in a folder's."""
+    return "".join(c if c not in '"#%\'*/:=?\\{[]^\x7f' and ord(c) >= 32 else f"%{ord(c):02X}" for c in name)
+
+
+def _deleted(spark: SparkSession, path: str, files: list[dict]) -> DataFrame:
+    """(__file, __row): the rows that the files' deletion vectors mark; decoded by the tasks."""
+    inline, stored = [], []
+    for f in files:
+        v = f.get("deletionVector")
+        if not v:
+            continue
+        if v["storageType"] == "i":
+            inline.append((_full(path, f), bytearray(bitmaps.z85_decode(v["pathOrInlineDv"])[: v["sizeInBytes"]])))
+        else:
+            at = os.path.join(path, bitmaps.file_name(v["pathOrInlineDv"])) if v["storageType"] == "u" else unquote(v["pathOrInlineDv"].removeprefix("file://"))
+            stored.append((_full(path, f), os.path.abspath(at), v.get("offset") or 0, v["sizeInBytes"]))
+
+    def run(batches):
+        for b in batches:
+            names, data, offsets, sizes = (b.column(i).to_pylist() for i in range(4))
+            for name, x, offset, size in zip(names, data, offsets, sizes, strict=True):
+                rows = bitmaps.decode(x if offset is None else bitmaps.unframed(x, offset, size))
+                for i in range(0, len(rows), 1 << 16):
+                    part = pa.array(rows[i : i + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), part], names=["__file", "__row"])
+
+    d = spark.createDataFrame([(n, x, None, None) for n, x in inline], "__file string, data binary, offset int, size int")
+    if stored:
+        found = spark.read.format("binaryFile").load([p for _, p, _, _ in dict((s[1], s) for s in stored).values()])
+        found = found.select(_at("path").alias("at"), F.col("content").alias("data"))
+        d = d.unionAll(spark.createDataFrame(stored, "__file string, at string, offset int, size int").join(found, "at").select("__file", "data", "offset", "size"))
+    return d.mapInArrow(run, "__file string, __row long")
+
+
+def _places(spark: SparkSession, path: str, files: list[dict], schema: T.StructType, partitions: list[str]) -> DataFrame:
+    """The rows that the files' deletion vectors leave, with __file and __row."""
+    whole = [f for f in files if not f.get("deletionVector")]
+    marked = [f for f in files if f.get("deletionVector")]
+    parts = [_files(spark, path, whole, schema, partitions)] if whole else []
+    if marked:
+        parts.append(_files(spark, path, marked, schema, partitions).join(_deleted(spark, path, marked), ["__file", "__row"], "left_anti").select(*(F.col(f"`{n}`") for n in schema.names), "__file", "__row"))
+    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
+
+def _scan(spark: SparkSession, path: str, files: list[dict], schema: T.StructType, partitions: list[str]) -> DataFrame:
+    if not files:
+        return spark.createDataFrame([], schema)
+    return _places(spark, path, files, schema, partitions).select(*(F.col(f"`{n}`") for n in schema.names))
 
 
 def read(spark: SparkSession, path: str, where: Mapping | None = None, version: int | None = None) -> DataFrame:
@@ -141,6 +228,35 @@ def _commit(path: str, version: int, actions: list[dict]) -> None:
         raise Conflict(f"version {version} of {path} exists") from None
     finally:
         os.unlink(tmp)
+    if version and version % CHECKPOINT_EVERY == 0:
+        checkpoint(path)
+
+
+_VECTOR = pa.struct([("storageType", pa.string()), ("pathOrInlineDv", pa.string()), ("offset", pa.int32()), ("sizeInBytes", pa.int32()), ("cardinality", pa.int64())])
+_TEXTS = pa.map_(pa.string(), pa.string())
+_CHECKPOINT = pa.schema([
+    ("protocol", pa.struct([("minReaderVersion", pa.int32()), ("minWriterVersion", pa.int32()), ("readerFeatures", pa.list_(pa.string())), ("writerFeatures", pa.list_(pa.string()))])),
+    ("metaData", pa.struct([("id", pa.string()), ("format", pa.struct([("provider", pa.string()), ("options", _TEXTS)])), ("schemaString", pa.string()), ("partitionColumns", pa.list_(pa.string())), ("configuration", _TEXTS), ("createdTime", pa.int64())])),
+    ("add", pa.struct([("path", pa.string()), ("partitionValues", _TEXTS), ("size", pa.int64()), ("modificationTime", pa.int64()), ("dataChange", pa.bool_()), ("deletionVector", _VECTOR)])),
+])
+
+
+def checkpoint(path: str) -> int:
+    """Writes what the log says at its last version as one Parquet file, from which replay() starts."""
+    s = replay(path)
+    rows = [{"protocol": s.protocol}, {"metaData": s.meta}, *({"add": a | {"dataChange": False}} for a in s.files.values())]
+
+    def pairs(x):  # maps as pyarrow takes them
+        return {k: list(v.items()) if k in ("partitionValues", "configuration", "options") and isinstance(v, dict) else pairs(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    name = f"{s.version:020d}.checkpoint.parquet"
+    tmp = os.path.join(_log(path), f".{uuid.uuid4().hex}.tmp")
+    pq.write_table(pa.Table.from_pylist([pairs(r) for r in rows], _CHECKPOINT), tmp)
+    os.replace(tmp, os.path.join(_log(path), name))
+    with open(tmp, "w", encoding="utf-8") as f:
+        json.dump({"version": s.version, "size": len(rows)}, f)
+    os.replace(tmp, os.path.join(_log(path), "_last_checkpoint"))
+    return s.version
 
 
 def _write_files(df: DataFrame, path: str, partitions: list[str], z_order: list[str] | None, change: bool = True) -> list[dict]:
@@ -176,6 +292,11 @@ def _meta(schema: T.StructType, partitions: list[str], table_id: str | None = No
     return {"metaData": {"id": table_id or str(uuid.uuid4()), "format": {"provider": "parquet", "options": {}}, "schemaString": nullable.json(), "partitionColumns": partitions, "configuration": {}, "createdTime": int(time.time() * 1000)}}
 
 
+def _remove(add: dict, now: int, change: bool = True) -> dict:
+    kept = {k: add[k] for k in ("path", "partitionValues", "size", "deletionVector") if add.get(k) is not None}
+    return {"remove": kept | {"deletionTimestamp": now, "dataChange": change, "extendedFileMetadata": True}}
+
+
 def _info(operation: str) -> dict:
     return {"commitInfo": {"timestamp": int(time.time() * 1000), "operation": operation, "operationParameters": {}}}
 
@@ -187,8 +308,8 @@ def write(df: DataFrame, path: str, partition_by: str | list[str] | None = None,
     old = replay(path) if versions(path) else None
     adds = _write_files(df, path, partitions, z_order)
     now = int(time.time() * 1000)
-    removes = [{"remove": {"path": p, "deletionTimestamp": now, "dataChange": True, "partitionValues": a["partitionValues"]}} for p, a in (old.files if old else {}).items()]
-    head = [_info("WRITE"), {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, _meta(df.schema, partitions, old.meta["id"] if old else None)]
+    removes = [_remove(a, now) for a in (old.files if old else {}).values()]
+    head = [_info("WRITE"), {"protocol": old.protocol if old and old.protocol else {"minReaderVersion": 1, "minWriterVersion": 2}}, _meta(df.schema, partitions, old.meta["id"] if old else None)]
     version = old.version + 1 if old else 0
     _commit(path, version, head + removes + adds)
     return version
@@ -224,21 +345,69 @@ def append(df: DataFrame, path: str, partition_by: str | list[str] | None = None
     return s.version + 1
 
 
+def delete(spark: SparkSession, path: str, where: Mapping) -> int:
+    """Deletes the rows that equal `where` by deletion vectors; how many they were. None: no commit. A file all of whose
+    rows go keeps them marked until optimize()."""
+    s = replay(path)
+    fixed = {k: v for k, v in where.items() if k in s.partitions}
+    files = [a for a in s.files.values() if all(_matches(a["partitionValues"].get(k), v, s.schema[k].dataType) for k, v in fixed.items())]
+    if not files:
+        return 0
+    found = _places(spark, path, files, s.schema, s.partitions)
+    for k, v in where.items():
+        if k not in fixed:
+            found = found.where(F.col(f"`{k}`").eqNullSafe(F.lit(v)))
+    found = written(found.select("__file", "__row"), "deleted")
+    touched = {r[0] for r in found.select("__file").distinct().collect()}
+    own = {_full(path, a): a for a in files if _full(path, a) in touched}
+    if not own:
+        return 0
+
+    def vector(key, table):  # of one file: all its marked rows
+        rows = table.column("__row").to_numpy()
+        return pa.table({"file": [key[0].as_py()], "data": pa.array([bitmaps.encode(rows)], pa.binary()), "n": pa.array([len(np.unique(rows))], pa.int64())})
+
+    both = found.unionAll(_deleted(spark, path, list(own.values())))
+    name = uuid.uuid4()
+    now = int(time.time() * 1000)
+    actions = []
+    with open(os.path.join(path, f"deletion_vector_{name}.bin"), "wb") as f:
+        f.write(bytes([bitmaps.VERSION]))
+        for r in both.groupBy("__file").applyInArrow(vector, "file string, data binary, n long").toLocalIterator():
+            a = own[r["file"]]
+            v = {"storageType": "u", "pathOrInlineDv": bitmaps.z85_encode(name.bytes), "offset": f.tell(), "sizeInBytes": len(r["data"]), "cardinality": r["n"]}
+            f.write(bitmaps.framed(bytes(r["data"])))
+            actions += [_remove(a, now), {"add": a | {"deletionVector": v, "modificationTime": now, "dataChange": True}}]
+    features = {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["deletionVectors"], "writerFeatures": ["deletionVectors"]}
+    n = found.count()
+    _commit(path, s.version + 1, [_info("DELETE"), *([{"protocol": features}] if s.protocol != features else []), *actions])
+    spent(found)
+    return n
+
+
 def changes(spark: SparkSession, path: str, since: int, until: int | None = None) -> DataFrame:
-    """Rows with _change_type, _commit_version and _commit_timestamp, from each commit's cdc files or else its data changes."""
+    """Rows with _change_type, _commit_version and _commit_timestamp, from each commit's cdc files or else its data changes:
+    rows of added files, rows of removed ones, and rows that a file's new deletion vector marks and its former one didn't."""
     last = versions(path)[-1] if until is None else until
     s = replay(path, last)
     parts = []
     for v in range(since, last + 1):
         acts = _actions(path, v)
         stamp = next((a["commitInfo"].get("timestamp", 0) for a in acts if "commitInfo" in a), 0)
-        groups = {"insert": [a["add"] for a in acts if "add" in a and a["add"].get("dataChange", True)], "delete": [a["remove"] for a in acts if "remove" in a and a["remove"].get("dataChange", True)]}
+        added = {a["add"]["path"]: a["add"] for a in acts if "add" in a and a["add"].get("dataChange", True)}
+        removed = {a["remove"]["path"]: a["remove"] for a in acts if "remove" in a and a["remove"].get("dataChange", True)}
         cdc = [a["cdc"] for a in acts if "cdc" in a]
+        found = []
         if cdc:
             with_type = T.StructType([*s.schema.fields, T.StructField("_change_type", T.StringType())])
-            found = [_scan(spark, path, cdc, with_type, s.partitions)]
+            found.append(_scan(spark, path, cdc, with_type, s.partitions))
         else:
-            found = [_scan(spark, path, g, s.schema, s.partitions).withColumn("_change_type", F.lit(k)) for k, g in groups.items() if g]
+            groups = {"insert": [a for p, a in added.items() if p not in removed], "delete": [a for p, a in removed.items() if p not in added]}
+            found += [_scan(spark, path, g, s.schema, s.partitions).withColumn("_change_type", F.lit(k)) for k, g in groups.items() if g]
+            if marked := [p for p in added if p in removed]:
+                rows = _places(spark, path, [removed[p] | {"partitionValues": added[p]["partitionValues"]} for p in marked], s.schema, s.partitions)
+                rows = rows.join(_deleted(spark, path, [added[p] for p in marked]), ["__file", "__row"], "left_semi")
+                found.append(rows.select(*(F.col(f"`{n}`") for n in s.schema.names), F.lit("delete").alias("_change_type")))
         parts += [d.withColumns({"_commit_version": F.lit(v).cast("long"), "_commit_timestamp": F.timestamp_millis(F.lit(stamp))}) for d in found]
     if not parts:
         return _scan(spark, path, [], s.schema, s.partitions).withColumns({"_change_type": F.lit(""), "_commit_version": F.lit(0).cast("long"), "_commit_timestamp": F.timestamp_millis(F.lit(0))})
@@ -255,21 +424,24 @@ def optimize(spark: SparkSession, path: str, z_order: list[str] | None = None, f
     df = df if z_order else df.repartition(files, *s.partitions) if s.partitions else df.coalesce(files)
     adds = _write_files(df, path, s.partitions, z_order, change=False)
     now = int(time.time() * 1000)
-    _commit(path, s.version + 1, [_info("OPTIMIZE")] + [{"remove": {"path": p, "deletionTimestamp": now, "dataChange": False, "partitionValues": a["partitionValues"]}} for p, a in s.files.items()] + adds)
+    _commit(path, s.version + 1, [_info("OPTIMIZE")] + [_remove(a, now, False) for a in s.files.values()] + adds)
     return s.version + 1
 
 
 def vacuum(path: str, keep_history: bool = True) -> int:
-    """Deletes data files that no version of the log names (or, without history, that the last one doesn't have)."""
-    named = set(replay(path).files)
+    """Deletes data files and deletion vectors that no version of the log names (or, without history, that the last one
+    doesn't have); how many they were."""
+    live = list(replay(path).files.values())
     if keep_history:
-        for v in versions(path):
-            named |= {a[k]["path"] for a in _actions(path, v) for k in ("add", "cdc") if k in a}
+        live += [a[k] for v in versions(path) for a in _actions(path, v) for k in ("add", "cdc", "remove") if a.get(k)]
+    named = {_full(path, f) for f in live}
+    named |= {os.path.abspath(os.path.join(path, bitmaps.file_name(v["pathOrInlineDv"]))) for f in live if (v := f.get("deletionVector")) and v["storageType"] == "u"}
     n = 0
     for d, dirs, names in os.walk(path):
         dirs[:] = [x for x in dirs if x != "_delta_log"]
         for f in names:
-            if f.endswith(".parquet") and quote(os.path.relpath(os.path.join(d, f), path)) not in named:
-                os.unlink(os.path.join(d, f))
+            full = os.path.abspath(os.path.join(d, f))
+            if f.endswith((".parquet", ".bin")) and full not in named:
+                os.unlink(full)
                 n += 1
     return n

@@ -1,7 +1,11 @@
 import json
 import math
+import os
+import struct
 from datetime import datetime
+from urllib.parse import unquote
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +15,7 @@ from quillon.functions import values as V
 from quillon.functions.expressions import compile_value
 from quillon.operators import checks, documents, ml, vectors
 from quillon.operators.table import Table
-from quillon.sources import delta, files, sql
+from quillon.sources import bitmaps, delta, files, sql
 from quillon.streaming import schedule, windows
 
 
@@ -114,6 +118,96 @@ def test_delta(spark, tmp_path):
     assert delta.read(spark, at).count() == 3
 
 
+def test_delta_partition_values_are_those_of_the_log(spark, tmp_path):
+    at = str(tmp_path / "d e")
+    keys = ["a+b", "50%", "x/y", "two words", "é=1", None, "%2B", "[z]", "q'\"#"]
+    d = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "n int, `k p` string")
+    delta.write(d, at, partition_by="k p")
+    want = sorted(enumerate(keys), key=str)
+    assert sorted(rows(delta.read(spark, at)), key=str) == want
+    assert rows(delta.read(spark, at, {"k p": "a+b"})) == [(0, "a+b")] and rows(delta.read(spark, at, {"k p": "x/y"})) == [(2, "x/y")]
+    # another writer's folders needn't tell the values
+    log = tmp_path / "d e" / "_delta_log" / f"{0:020d}.json"
+    actions = [json.loads(x) for x in log.read_text().splitlines()]
+    for i, a in enumerate(actions):
+        if "add" in a:
+            name = f"f{i}-{a['add']['path'].rsplit('/', 1)[1]}"
+            os.rename(tmp_path / "d e" / unquote(a["add"]["path"]), tmp_path / "d e" / name)
+            a["add"]["path"] = name
+    log.write_text("".join(json.dumps(a) + "\n" for a in actions))
+    assert sorted(rows(delta.read(spark, at)), key=str) == want
+
+
+def test_deletion_vector_layout():
+    r = np.random.default_rng(3)
+    for x in ([], [0], [5, 70000, 2**33 + 1], r.integers(0, 1 << 20, 30000), np.arange(100000)):
+        x = np.unique(np.array(x, dtype=np.int64))
+        assert bitmaps.decode(bitmaps.encode(x)).tolist() == x.tolist()
+    # by hand: one bitmap with a run container of 3..7
+    run = struct.pack("<iqI", 1681511377, 1, 0) + struct.pack("<I", 12347) + b"\x01" + struct.pack("<HH", 0, 4) + struct.pack("<HHH", 1, 3, 4)
+    assert bitmaps.decode(run).tolist() == [3, 4, 5, 6, 7]
+    assert bitmaps.z85_decode("HelloWorld") == bytes.fromhex("864fd26fb559f75b") and bitmaps.z85_encode(bytes.fromhex("864fd26fb559f75b")) == "HelloWorld"
+    with pytest.raises(ValueError):
+        bitmaps.unframed(bitmaps.framed(b"abcd")[:-1] + b"x", 0, 4)
+
+
+def test_delta_deletion_vectors(spark, tmp_path):
+    at = str(tmp_path / "d")
+    delta.write(spark.range(0, 1000, 1, 3).selectExpr("id", "id % 2 as p", "id % 10 as d"), at, partition_by="p")
+    assert delta.delete(spark, at, {"d": 3}) == 100 and delta.delete(spark, at, {"d": 3}) == 0
+    assert delta.delete(spark, at, {"p": 0, "d": 4}) == 100 and delta.delete(spark, at, {"d": 5}) == 100
+    want = [i for i in range(1000) if i % 10 not in (3, 4, 5)]
+    assert sorted(r["id"] for r in delta.read(spark, at).collect()) == want
+    assert delta.read(spark, at, version=1).count() == 900 and delta.read(spark, at, {"p": 1}).count() == 300
+    c = delta.changes(spark, at, 3).collect()
+    assert {r["_change_type"] for r in c} == {"delete"} and sorted(r["id"] for r in c) == [i for i in range(1000) if i % 10 == 5]
+    # a vector within the log
+    s = delta.replay(at)
+    a = next(a for a in s.files.values() if a.get("deletionVector"))
+    size = bitmaps.encode(np.arange(0))
+    v = {"storageType": "i", "pathOrInlineDv": bitmaps.z85_encode(size), "sizeInBytes": len(size), "cardinality": 0}
+    delta._commit(at, s.version + 1, [delta._remove(a, 0), {"add": a | {"deletionVector": v}}])
+    assert delta.read(spark, at).count() > len(want)
+    delta.optimize(spark, at)
+    n = delta.read(spark, at).count()
+    assert delta.vacuum(at, keep_history=False) > 0 and delta.read(spark, at).count() == n
+    assert not any(a.get("deletionVector") for a in delta.replay(at).files.values())
+
+
+def test_delta_checkpoints(spark, tmp_path):
+    at = str(tmp_path / "d")
+    for i in range(11):
+        delta.append(spark.createDataFrame([(i, "a b" if i % 2 else None)], "n int, k string"), at, partition_by="k" if not i else None)
+    assert os.path.exists(f"{at}/_delta_log/{10:020d}.checkpoint.parquet") and json.load(open(f"{at}/_delta_log/_last_checkpoint"))["version"] == 10
+    for v in range(10):
+        os.unlink(f"{at}/_delta_log/{v:020d}.json")
+    assert delta.append(spark.createDataFrame([(11, "z")], "n int, k string"), at) == 11
+    assert sorted(rows(delta.read(spark, at)), key=str) == sorted([(i, "a b" if i % 2 else None) for i in range(11)] + [(11, "z")], key=str)
+
+
+def test_row_numbers_over_many_partitions(spark):
+    """Sorted rows in 200 partitions: each row is in the window that its place gives, whatever the sort's bounds."""
+    n = 1_200_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.shuffle.partitions", "200")
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            d = spark.range(0, n, 1, 50).select(F.xxhash64("id").alias("h"), "id").orderBy("h").select(F.col("id").alias("k"))
+            w = windows.numbered_windows(d, "k", 1000)
+            assert w.where("window <> k div 1000").isEmpty() and w.count() == n
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        t = Table(spark.range(0, n, 1, 50).select((F.lit(n) - F.col("id")).alias("k")).orderBy("k"))
+        assert t.shard(7, 3).df.where("(k - 1) % 7 <> 3").isEmpty()
+        a, b = t.fold(5, 2)
+        assert b.df.where("(k - 1) % 5 <> 2").isEmpty() and a.df.count() + b.df.count() == n
+        v = checks.violations(Table(d.withColumn("u", F.col("k") % 600_000).orderBy("k")), unique="u")
+        assert v.agg(F.count("*"), F.min("row"), F.max("row")).first()[:] == (600_000, 600_001, n)
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_sql(spark, tmp_path):
     url = f"sqlite://{tmp_path}/t.db"
     sql.execute(url, "CREATE TABLE t (id INTEGER, name TEXT, ok INTEGER)")
