@@ -1,47 +1,16 @@
-"""Written intermediate tables, connected components and bounded membership filters."""
+"""Connected components over written tables, and bounded membership filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spent, written
 from ._text import U, mix
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
-    mode (tests); a cluster has to name one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors. What shuffles have left on disk
-    is of no more use then; it goes when the driver collects its garbage, so that is asked for here."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(at)
-    out._written_at = at
-    return out
-
-
-def spent(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_at)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bloom", "components", "in_bloom", "spent", "written"]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
