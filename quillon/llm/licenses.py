@@ -21,7 +21,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._native import fixed, let, matches, without
+from ._native import fixed, let, matches, scan, without
 
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -217,20 +217,37 @@ def needles() -> list[str]:
     return out
 
 
-def detections(text: Column) -> Column:
-    """Array of (start, end, label, priority), what is suppressed left out; text in lower case."""
-    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern")) for label, priority, k, p in rules()))
-    near = F.filter(table, lambda r: F.contains(text, r["keyword"]))
-    found = F.flatten(F.transform(near, lambda r: F.transform(matches(text, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))))
+def unsuppressed(found: Column) -> Column:
+    """Of (start, end, label, priority) those that lie within no other of higher rank; of equal ones, one.
+
+    In order of start, then from long to short, then by rank, what may contain a detection comes before it; a running
+    maximum of the ends, for each priority over those at least as high, tells whether one does."""
+    levels = sorted({r[1] for r in rules()})
+    order = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("low"), d["label"].alias("label")))
+    at = F.array(*map(F.lit, levels))
+
+    def step(reached: Column, x: Column) -> Column:
+        return F.transform(reached, lambda e, i: F.when(F.get(at, i) <= -x["low"], F.greatest(e, -x["back"])).otherwise(e))
+
+    def free(reached: Column, x: Column) -> Column:
+        return F.get(reached, F.array_position(at, -x["low"]).cast("int") - 1) < -x["back"]
 
-    def above(o: Column, d: Column) -> Column:
-        lo, ld = o["end"] - o["start"], d["end"] - d["start"]
-        rank = (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & ((lo > ld) | ((lo == ld) & (o["label"] < d["label"]))))
-        return (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & rank
+    zero = F.array_repeat(F.lit(-1).cast("long"), len(levels))
 
-    kept = let(found, lambda a: F.filter(a, lambda d: ~F.exists(a, lambda o: above(o, d))))
+    def kept(a: Column) -> Column:
+        left = let(scan(a, zero, step, free, "boolean"), lambda ok: F.filter(a, lambda x, i: F.get(ok, i)))
+        return F.transform(left, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["label"].alias("label"), (-x["low"]).alias("priority")))
+
+    return let(F.array_sort(order), kept)
+
+
+def detections(low: Column) -> Column:
+    """Array of (start, end, label, priority), what is suppressed left out; low: the text with A-Z as a-z, null to pass it by."""
+    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern")) for label, priority, k, p in rules()))
+    near = F.filter(table, lambda r: F.contains(low, r["keyword"]))
+    found = F.flatten(F.transform(near, lambda r: F.transform(matches(low, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))))
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,priority:int>>")
-    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in needles())), kept).otherwise(none)
+    return F.when(low.isNotNull(), let(found, lambda a: F.when(F.size(a) > 1, unsuppressed(a)).otherwise(a))).otherwise(none)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
@@ -246,7 +263,11 @@ def licenses(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     taken = {*OUT, found}
     d = docs.select(*without(docs, *taken), F.coalesce(docs["text"], F.lit("")).alias(t))
-    d = d.withColumns({low: F.lower(text), base: fixed(F.when(gate, F.concat(*map(places, PHRASES))).otherwise(none))})
+    # lower() also changes other letters, so it only decides which texts are looked at
+    d = d.withColumn("__license_any", F.lower(text))
+    near = reduce(or_, (F.contains(F.col("__license_any"), F.lit(x)) for x in needles()))
+    capitals = "".join(map(chr, range(65, 91)))
+    d = d.withColumns({low: fixed(F.when(near, F.translate(text, capitals, capitals.lower()))), base: fixed(F.when(gate, F.concat(*map(places, PHRASES))).otherwise(none))})
     d = d.withColumn(found, fixed(detections(F.col(low))))
 
     def words_before(at: Column) -> Column:
