@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._native import fixed, matches, without
+from ._native import blocks, fixed, let, matches, part, scan, without
 
 BASE = ["email", "ip", "card", "phone"]
 #: The given patterns, written so that Java's matcher neither recurses nor rescans a long run: a run
@@ -65,6 +65,8 @@ CONTEXT = {
 }
 AGAINST = r"commit|sha-?[0-9]|md5|checksum|digest|hash|version|isbn|order|invoice|http|www\.|/$"
 N_VOTES = 5
+#: Characters before a candidate that context labelers see.
+AHEAD = 24
 OUT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 _T, _C = "__pii_text", "__pii_candidates"
 _SPAN = "array<struct<start:bigint,end:bigint,found:string>>"
@@ -105,8 +107,7 @@ def candidates(text: Column) -> Column:
         kind = F.lit("secret")
         for k in list(KINDS)[:-1][::-1]:
             kind = F.when(found.rlike(f"^(?:{KINDS[k]})$"), F.lit(k)).otherwise(kind)  # what stands around it was looked at when it was found
-        before = F.lower(F.substring(text, F.greatest(m["start"] - 23, F.lit(1)).cast("int"), F.least(m["start"], F.lit(24)).cast("int")))
-        return F.transform(F.array(kind), lambda k: _coded(k, m, found, before))[0]
+        return F.transform(F.array(kind), lambda k: _coded(k, m, found, F.lower(m["before"])))[0]
 
     def _coded(k, m, found, before):
         number = F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int") - 1
@@ -125,7 +126,7 @@ def candidates(text: Column) -> Column:
 
     gate = text.rlike(r"[A-Za-z0-9_/+-]{20}|[0-9]-[0-9]{2}-[0-9]|:[0-9A-Fa-f]{2}:|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]|[A-Z]{2}[0-9]{2}")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,code:int>>")
-    return F.when(gate, F.transform(matches(text, any_of), votes)).otherwise(none)
+    return F.when(gate, F.transform(matches(text, any_of, AHEAD), votes)).otherwise(none)
 
 
 def pattern_counts(docs: DataFrame) -> dict[int, int]:
@@ -184,15 +185,40 @@ def accepted(counts: dict[int, int], steps: int = 400, rate: float = 1.0, ridge:
     return sorted(c for c in counts if p(c) >= 0.5)
 
 
+def _apart(found: Column, base: Column) -> Column:
+    """Those of found, which don't overlap each other, that overlap none of base.
+
+    All are put in order of start; a running maximum of the ends of base spans from the front, and a running minimum of
+    their starts from the back, tell of each whether one reaches into it."""
+
+    def place(a: Column, own: bool) -> Column:
+        return F.transform(a, lambda x, i: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), F.when(F.lit(own), i).otherwise(-1).alias("i")))
+
+    far = F.lit(1 << 62).cast("long")
+    reached = lambda s, x: F.when(x["own"], s).otherwise(F.greatest(s, x["end"]))
+    next_one = lambda s, x: F.when(x["own"], s).otherwise(F.least(s, x["start"]))
+
+    def free(a: Column) -> Column:
+        ahead = scan(a, F.lit(0).cast("long"), reached, lambda s, x: F.when(x["own"] & (s <= x["start"]), x["i"]).otherwise(-1), "int")
+        behind = scan(F.reverse(a), far, next_one, lambda s, x: F.when(x["own"] & (s >= x["end"]), x["i"]).otherwise(-1), "int")
+        return F.array_remove(F.array_intersect(ahead, behind), -1)
+
+    def kept(f: Column) -> Column:
+        # in order of start, base spans (own = false) first
+        places = F.array_sort(F.concat(place(base, False), place(f, True)))
+        return let(free(places), lambda ok: F.transform(F.array_sort(ok), lambda i: F.get(f, i)))
+
+    return let(found, lambda f: F.when((F.size(f) > 0) & (F.size(base) > 0), kept(f)).otherwise(f))
+
+
 def find(docs: DataFrame, codes: list[int], arrays: bool = False) -> DataFrame:
     """docs with OUT; with `arrays` also __pii_all, an array of (kind, start, end) in order of place."""
     text = F.col(_T)
     d = docs.select(*without(docs, *OUT), F.coalesce(docs["text"], F.lit("")).alias(_T))
     columns = {f"__pii_{k}": v for k, v in base_spans(text).items()}
     d = d.select("*", *(fixed(v).alias(k) for k, v in columns.items()), fixed(candidates(text)).alias(_C))
-    taken = F.concat(*(F.col(k) for k in columns))
     good = F.array(*map(F.lit, codes)).cast("array<int>")
-    added = F.filter(_C, lambda c: F.array_contains(good, c["code"]) & ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    added = _apart(F.filter(_C, lambda c: F.array_contains(good, c["code"])), F.concat(*(F.col(k) for k in columns)))
     d = d.withColumn(_C, fixed(added))
 
     def told(kind: str, a: Column | str) -> Column:
@@ -221,10 +247,13 @@ def redacted(docs: DataFrame, codes: list[int]) -> DataFrame:
     d = find(docs, codes, arrays=True)
     text, spans = F.coalesce(d["text"], F.lit("")), F.col("__pii_all")
     # what lies before each span, after all earlier ones (a span may lie within or cross an earlier one)
-    reached = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda p: p["end"])), F.lit(0)))
-    pieces = F.transform(F.arrays_zip(spans.alias("s"), reached.alias("r")), lambda z: F.concat(F.substring(text, (z["r"] + 1).cast("int"), F.greatest(z["s"]["start"] - z["r"], F.lit(0)).cast("int")), F.when(z["s"]["start"] >= z["r"], F.concat(F.lit("["), F.upper(z["s"]["kind"]), F.lit("]"))).otherwise("")))
+    reached = scan(spans, F.lit(0).cast("long"), lambda s, x: F.greatest(s, x["end"]), lambda s, x: s, "bigint")
+    d = d.withColumn("__pii_reached", fixed(reached)).withColumn("__pii_blocks", fixed(F.when(F.size(spans) > 0, blocks(text))))
+    cut, ends = F.col("__pii_blocks"), F.col("__pii_reached")
+    mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    pieces = F.transform(spans, lambda s, i: F.concat(part(cut, F.get(ends, i), s["start"]), F.when(s["start"] >= F.get(ends, i), mark(s)).otherwise("")))
     last = F.array_max(F.transform(spans, lambda p: p["end"]))
-    new = F.when(F.size(spans) == 0, d["text"]).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, (last + 1).cast("int"), F.length(text))))
+    new = F.when(F.size(spans) == 0, d["text"]).otherwise(F.concat(F.array_join(pieces, ""), part(cut, last, F.length(text).cast("long"))))
     d = d.withColumn("__pii_new", new)
     out = []
     for c in docs.columns:

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import licenses, pii, quality
+from quillon.llm._native import scan
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORDS = [
@@ -64,11 +66,29 @@ def test_licenses(docs):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({k for _, k in at})))
         assert {*r["base_labels"].split(",")} - {""} <= {*r["labels"].split(",")} and 0 <= r["score"] <= 1
         # brute force over all rules, without keywords or anchors
-        low, found = (r["text"] or "").lower(), []
+        low, found = (r["text"] or "").translate(LOWER), []
         for label, priority, _, p in licenses.rules():
             found += [(m.start(), m.end(), label, priority) for m in re.finditer(p, low, re.ASCII)]
         kept = [d for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and (o[3], o[1] - o[0], d[2]) > (d[3], d[1] - d[0], o[2]) for o in found)]
-        assert {x["label"] for x in r["detections"]} == {k[2] for k in kept}
+        assert Counter((x["start"], x["end"], x["label"], x["priority"]) for x in r["detections"]) == Counter(set(kept))
+
+
+def test_licenses_many_detections(spark):
+    """A megabyte of detections: each in turn, in time that is linear in them; A-Z alone count as a-z."""
+    n = 87_000
+    rows = [(0, "MIT License " * n), (1, "MIT License, Apache License 2.0 " * 3000 + "GNU General Public License v3.0"), (2, "CC\u212a BY")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert time.time() - began < 60
+    assert got[0]["n_base"] == len(got[0]["detections"]) == n and [d["start"] for d in got[0]["detections"]] == [12 * i for i in range(n)]
+    assert {(d["end"] - d["start"], d["label"]) for d in got[0]["detections"]} == {(11, "mit")} and got[0]["last_word"] == 2 * (n - 1)
+    assert Counter(d["label"] for d in got[1]["detections"]) == {"mit": 3000, "apache-2.0": 3000, "gpl-3.0": 1} and got[2]["n_base"] == 0
+
+
+def test_scan(spark):
+    d = spark.createDataFrame([([i * 37 % 101 for i in range(n)],) for n in (0, 1, 511, 512, 513, 5000)], "a array<int>")
+    for r in d.select("a", scan(F.col("a"), F.lit(0), lambda s, x: F.greatest(s, x), lambda s, x: s, "int").alias("b"), scan(F.col("a"), F.lit(0), lambda s, x: F.greatest(s, x), lambda s, x: s, "int", 7).alias("c")).collect():
+        assert r["b"] == r["c"] == [max(r["a"][:i], default=0) for i in range(len(r["a"]))]
 
 
 def test_license_rules_are_many_and_have_keywords():
@@ -154,6 +174,20 @@ def test_pii(docs):
     assert clean[0] is None and clean[1] == "" and clean[9].startswith("é𝒳 [EMAIL] é [PHONE] token = ")
 
 
+def test_pii_many_spans(spark):
+    """A megabyte of base spans and candidates: those that overlap a base span go, in time that is linear in them."""
+    unit = "api token = 0123456789abcdef0123456789abcdef a@b.co Dr. Anna Lopez "
+    rows = [(0, unit * 15_000), (1, "x@" + "0123456789abcdef" * 4 + ".com 123-45-6789"), (2, "0123456789abcdef0123456789abcdef@x.org " * 50)]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    codes = [c for c in range(len(pii.KINDS) * 3**pii.N_VOTES)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(d, codes).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(d, codes).collect()}
+    assert time.time() - began < 100
+    assert Counter(x.split(":")[0] for x in got[0]["spans"].split(",")) == {"email": 15_000, "secret": 15_000, "person": 15_000}
+    assert clean[0] == "api token = [SECRET] [EMAIL] [PERSON] " * 15_000 and clean[1] == "[EMAIL] [NATIONAL_ID]" and clean[2] == "[EMAIL] " * 50
+
+
 def test_pii_classifier():
     code = lambda kind, *v: int("".join(map(str, v)), 3) + list(pii.KINDS).index(kind) * 3**5
     counts = {code("secret", 2, 1, 2, 1, 2): 200, code("secret", 2, 2, 2, 1, 2): 40, code("secret", 0, 1, 1, 0, 0): 300, code("secret", 0, 1, 1, 1, 0): 100}
