@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)

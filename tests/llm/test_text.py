@@ -223,6 +223,42 @@ def test_passages_behind_a_common_text(spark):
     assert got == {(100 + 2 * i + j, 101 + 2 * i - j, 70, 130) for i in range(40) for j in (0, 1)}
 
 
+def test_passages_of_an_id_with_two_texts(spark):
+    r = random.Random(6)
+    new = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    shared = [new(70), new(70)]
+    rows = [(1, f"{new(20)} {shared[0]}"), (1, f"{new(30)} {shared[1]}"), (2, f"{shared[0]} {new(9)}"), (3, f"{shared[1]} {new(9)}"), (3, None), (2, f"{shared[0]} {new(9)}"), (4, shared[0].upper())]
+    got = {(x["doc_id"], x["start"], x["end"], x["other_doc_id"]) for x in passages.passages(spark.createDataFrame(rows, "doc_id int, text string").withColumn("name", F.lit(0))).collect()}
+    assert {(1, 20, 90, 2), (1, 20, 90, 4), (1, 30, 100, 3), (2, 0, 70, 4), (3, 0, 70, 1)} <= got and not any(a == d for a, *_, d in got)
+
+
+def test_dealt_rows():
+    ids = np.repeat(np.arange(40), 2)
+    key = np.where(ids < 38, 7, 9)
+    rows, keys = passages.dealt(key, ids, 8)
+    assert set(rows) == set(range(80)) and np.bincount(keys == 7)[1] == 9 and (keys == 9).sum() == 4
+    assert {0, 1, 2, 3} & set(rows[(keys != 7) & (keys != 9)].tolist()) == {0, 2}
+
+
+def test_passages_recall_and_precision_under_crowding(spark):
+    """300 documents hold one common passage; of them 60 pairs share another one, exactly or with a few words changed."""
+    r = random.Random(8)
+    new = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    common = new(60)
+    rows = [(i, " ".join(new(40) + common + new(40))) for i in range(180)]
+    for i in range(60):
+        own = new(90)
+        other = list(own)
+        for p in r.sample(range(90), i % 3):
+            other[p] = "changed"
+        rows += [(200 + 2 * i, " ".join(new(30) + own + common)), (201 + 2 * i, " ".join(common + other + new(30)))]
+    rows += [(900 + i, " ".join(new(120))) for i in range(100)]
+    got = {(x["doc_id"], x["other_doc_id"]) for x in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {a for a, _ in got} == {i for i, _ in rows if i < 900}
+    met = sum((200 + 2 * i, 201 + 2 * i) in got for i in range(60))
+    assert met >= 57, met
+
+
 def test_compact_windows_are_maximal():
     rng = random.Random(5)
     h = np.array([rng.randrange(1, 1 << 40) for _ in range(200)], dtype=np.uint64)
