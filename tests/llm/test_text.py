@@ -346,13 +346,26 @@ def test_ppm(spark, corpus):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "bot", "é𝒳"), (1, 2, None, None), (1, 300, "user", "late"), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "a", "x"), (1, None, "bot", "?")]
-    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotated(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit("clash"))).collect()}
-    assert {k[1] for k in got if k[0] == 1} == {"user", "bot", "unknown"} and {k[2] for k in got if k[0] == 1} == {-1, 0, 1}
+    turns = [(1, 0, "user", "hi"), (1, 1, "bot", "é𝒳"), (1, 2, None, None), (1, 300, "user", "late"), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "a", "x"), (1, None, "bot", "?"), (1, -1, "bot", "first")]
+    d = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit("clash"))
+    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotated(d, part_turns=4).collect()}
+    assert {k[1] for k in got if k[0] == 1} == {"user", "bot", "unknown"} and {k[2] for k in got if k[0] == 1} == {0, 1}
     r = got[(1, "bot", 0)]
-    assert r["text"] == "<|start|>user name=user\nhi<|end|>\n<|start|>assistant\né𝒳<|end|>\n<|start|>user name=unknown\n<|end|>\n"
-    assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == ["é𝒳<|end|>"] and r["n_chars"] == len(r["text"])
-    assert got[(2, "user", 0)]["n_turns"] == 2 and len(got[(2, "user", 0)]["mask"]) == 2 and got[(1, "bot", 1)]["mask"] == []
+    assert r["text"] == "<|start|>assistant\nfirst<|end|>\n<|start|>user name=user\nhi<|end|>\n<|start|>assistant\né𝒳<|end|>\n<|start|>user name=unknown\n<|end|>\n"
+    assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == ["first<|end|>", "é𝒳<|end|>"] and r["n_chars"] == len(r["text"])
+    assert got[(1, "bot", 1)]["text"] == "<|start|>user name=user\nlate<|end|>\n<|start|>assistant\n?<|end|>\n" and got[(1, "bot", 1)]["first_turn"] == 4
+    assert got[(2, "user", 0)]["n_turns"] == 2 and len(got[(2, "user", 0)]["mask"]) == 2 and got[(1, "unknown", 1)]["mask"] == [] and (None, "a", 0) in got
+    assert chat.rotated(d.where("false")).count() == 0
+
+
+def test_chat_bounds_parts_by_rows(spark):
+    """Null and repeated turn numbers: no part has more than part_turns of them, and all put together are the whole."""
+    rows = [(None, None if i % 2 else 7, "a" if i % 3 else "b", f"t{i:04}") for i in range(1000)]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = [r for r in chat.rotated(d, part_turns=64).collect() if r["speaker"] == "a"]
+    assert max(r["n_turns"] for r in got) == 64 and len(got) == 16
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+    assert re.findall(r"t[0-9]{4}", "".join(r["text"] for r in sorted(got, key=lambda r: r["part"]))) == [r[3] for r in want]
 
 
 def test_html(spark):
