@@ -157,11 +157,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those into which an item leaks; null ids stay only if their row is clean."""
-    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) - F.abs(F.xxhash64("text")) % (2**61)).alias("doc_id"), "text")
-    bad = leaks(tagged, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**62)) - F.abs(F.xxhash64(docs["text"])) % (2**61))
-    return docs.join(bad, key == F.col("__leak"), "left_anti")
+    """docs without those into which an item leaks, row by row: rows that repeat an id are judged by their own texts."""
+    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    bad = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(bad, row == F.col("__leak"), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
