@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each an operator of quillon.llm applied to all that its predecessor kept.
 
-Quality rules drop what they reject; of each near-duplicate group one document stays; documents into
-which a benchmark item leaks go; personal data is replaced by its kind in brackets; what is left is
+Quality rules drop what they reject; of each near-duplicate group one row stays (rows are judged by their texts, not
+by their ids); documents into which a benchmark item leaks go; personal data is replaced by its kind in brackets; what is left is
 encoded by a public byte-level BPE vocabulary. All stages but the last return the columns of documents.
 """
 
