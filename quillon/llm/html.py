@@ -38,13 +38,29 @@ HINTS = frozenset("ad ads advert advertisement article author banner body breadc
 CUES = re.compile(r"(?i)©|\(c\)|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog ?in\b|\bshare\b|\breply\b|\breplied\b|\bcomments?\b|\badvertisement\b|\bsponsored\b|\bread more\b|\bprivacy\b|\bterms\b|\bnewsletter\b|\bmenu\b")
 
 
-def blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], float]]:
-    """(text, ancestors as (tag, hints), share of its characters in links) of each leaf block that has text."""
-    out: list[tuple[str, list, float]] = []
-    stack: list[tuple[str, frozenset]] = []
+class Open:
+    """An open element, with what its ancestors add up to: features, nearest element that isn't inline, whether in a link."""
+
+    __slots__ = ("tag", "parent", "features", "block", "linked")
+
+    def __init__(self, tag: str, hints: frozenset, parent: Open | None):
+        self.tag, self.parent = tag, parent
+        own = {"hint:" + h for h in hints} | ({"in:" + tag} if tag not in ("html", "body") else set())
+        above = parent.features if parent else frozenset()
+        self.features = above if own <= above else above | own
+        self.block = self if tag not in INLINE else parent.block if parent else None
+        self.linked = tag == "a" or bool(parent and parent.linked)
+
+
+def blocks(page: str) -> list[tuple[str, Open | None, float]]:
+    """(text, innermost open element, share of its characters in links) of each leaf block that has text."""
+    out: list[tuple[str, Open | None, float]] = []
+    top: Open | None = None
+    open_now: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
-    where: list[tuple[str, frozenset]] = []
+    where: Open | None = None
+    endless: set[str] = set()  # raw elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -55,7 +71,15 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], float]]:
             parts.clear()
         linked = 0
 
-    skip, end = "", 0
+    def shut(node: Open) -> None:
+        """Ends node and all within it."""
+        nonlocal top
+        while True:
+            x, top = top, top.parent
+            open_now[x.tag] -= 1
+            if x is node:
+                return
+
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.match(page, pos)
@@ -66,43 +90,42 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], float]]:
             if t[0] == "<" and len(t) > 1:
                 continue
             if not parts:
-                where = list(stack)
+                where = top
             parts.append(t)
-            if any(x[0] == "a" for x in stack[-4:]):
+            if top and top.linked:
                 linked += len(t.strip())
             continue
         tag = tag.lower()
         if m.group(1):
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_now.get(tag):
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                shut(node)
             continue
         if tag in RAW:
             flush()
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             if end:
                 pos = end.end()
-            elif tag in ("script", "style", "noscript", "template", "svg", "textarea", "title"):
+                continue
+            endless.add(tag)
+            if tag in ("script", "style", "noscript", "template", "svg", "textarea", "title"):
                 pos = n
             continue
         if tag not in INLINE:
             flush()
-            shut = ENDS.get(tag, set()) | {"p"} if tag not in ("td", "th") else ENDS[tag]
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] not in shut:
-                    break
+            ended = ENDS.get(tag, set()) | {"p"} if tag not in ("td", "th") else ENDS[tag]
+            if top and top.block and top.block.tag in ended:
+                shut(top.block)
         elif tag in ("br", "wbr") and parts:
             parts.append(" ")
         if tag not in VOID and not m.group(3).endswith("/"):
             hints = frozenset(w for c in _CLASS.findall(m.group(3)) for w in _WORD.findall("".join(c).lower()) if w in HINTS) if m.group(3) else frozenset()
-            if len(stack) < 512:
-                stack.append((tag, hints))
+            top = Open(tag, hints, top)
+            open_now[tag] = open_now.get(tag, 0) + 1
     flush()
     return out
 
@@ -110,14 +133,9 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset]], float]]:
 def features(all_blocks: list) -> list[list[str]]:
     out = []
     n = len(all_blocks)
-    for i, (text, up, links) in enumerate(all_blocks):
-        f = {"bias"}
-        for tag, hints in up:
-            if tag not in ("html", "body"):
-                f.add("in:" + tag)
-            f.update("hint:" + h for h in hints)
-        holder = next((t for t, _ in reversed(up) if t not in INLINE), "none")
-        f.add("holder:" + holder)
+    for i, (text, within, links) in enumerate(all_blocks):
+        f = {"bias"} | (within.features if within else frozenset())
+        f.add("holder:" + (within.block.tag if within and within.block else "none"))
         words = text.count(" ") + 1
         f.add(f"words:{min(7, int(math.log2(words)))}")
         f.add(f"links:{int(links * 4)}")

@@ -385,6 +385,19 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == got[None]["text"] == ""
 
 
+def test_html_of_any_depth(spark):
+    """Deep nesting and unclosed raw elements: ancestors stay right, and time is linear."""
+    import time
+
+    deep = "<article>" + "<div><b>" * 3000 + "<p>deep</p>" + "</b></div>" * 3000 + "</article><div class=sidebar>beside</div>"
+    found = html.blocks(deep)
+    assert [b[0] for b in found] == ["deep", "beside"] and "in:article" in found[0][1].features and "in:article" not in found[1][1].features and "hint:sidebar" in found[1][1].features
+    began = time.time()
+    assert len(html.blocks("<iframe src=x>text " * 40_000)) == 40_000 and time.time() - began < 5
+    began = time.time()
+    assert html.blocks("<b>" * 40_000 + "x" + "</i>" * 40_000)[0][0] == "x" and time.time() - began < 5
+
+
 def test_viterbi_and_gradient_by_enumeration():
     from itertools import product
 
