@@ -29,3 +29,35 @@ def test_iceberg(spark, tmp_path):
     assert sorted((r["c"], r["ok"]) for r in iceberg.read(spark, at).collect()) == [("c", None), ("d", None), ("e", True)]
     assert iceberg.vacuum(at) == 1  # the delete file of the deletion that found nothing
     assert iceberg.read(spark, at).count() == 3
+
+
+def test_equality_deletes(spark, tmp_path):
+    at = str(tmp_path / "t")
+    iceberg.write(spark.createDataFrame([(1, "a", None), (2, "b", 1.5), (3, "a", None), (4, None, 2.0)], "n int, k string, v double"), at, ["truncate[2](n)"])
+    assert iceberg.delete(spark, at, {"k": "a", "v": None}, "equality") == 2 and iceberg.delete(spark, at, {"k": "zz"}, "equality") == 0
+    iceberg.append(spark.createDataFrame([(5, "a", None), (6, "b", 0.0)], "n int, k string, v double"), at)  # later rows aren't deleted
+    assert iceberg.delete(spark, at, {"n": 6}) == 1 and iceberg.delete(spark, at, {"k": None}, "equality") == 1
+    assert sorted(r["n"] for r in iceberg.read(spark, at).collect()) == [2, 5] and iceberg.read(spark, at, {"n": 5}).count() == 1 and iceberg.read(spark, at, {"n": 4}).count() == 0
+    iceberg.optimize(spark, at)
+    assert sorted(r["n"] for r in iceberg.read(spark, at).collect()) == [2, 5]
+
+
+def test_metadata_of_other_writers(spark, tmp_path):
+    """No hint file, URIs, a second spec whose fields are known by source id only, no private keys."""
+    import json
+
+    import pyarrow.parquet as pq
+
+    at = str(tmp_path / "t")
+    iceberg.write(spark.createDataFrame([(1, "a b"), (2, "c")], "n int, k string"), at, ["k"])
+    meta = json.loads((tmp_path / "t/metadata/v1.metadata.json").read_text())
+    assert all(not key.startswith("_") for spec in meta["partition-specs"] for f in spec["fields"] for key in f)
+    file = next((tmp_path / "t/data").rglob("*.parquet"))
+    assert {f.metadata[b"PARQUET:field_id"] for f in pq.read_schema(file)} == {b"1", b"2"}
+    meta["partition-specs"].insert(0, {"spec-id": 7, "fields": []})
+    for s in meta["snapshots"]:
+        s["manifest-list"] = "file://" + s["manifest-list"]
+    (tmp_path / "t/metadata/00002-x.metadata.json").write_text(json.dumps(meta))
+    for old in ("version-hint.text", "v1.metadata.json"):
+        (tmp_path / "t/metadata" / old).unlink()
+    assert [r["n"] for r in iceberg.read(spark, at, {"k": "a b"}).collect()] == [1] and iceberg.exists(at)
