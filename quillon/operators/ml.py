@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+from .tensors import argmax, softmax
+
 
 @dataclass
 class Preparation:
@@ -106,6 +109,84 @@ class LogisticRegression:
         return 1 / (1 + F.exp(-z))
 
 
+@dataclass
+class SoftmaxRegression:
+    """Any number of classes; full-batch gradient descent, each step one aggregation over standardised features."""
+
+    features: list[str]
+    steps: int = 100
+    rate: float = 0.5
+    most_classes: int = 1000
+    classes: list = field(default_factory=list)
+    weights: list[list[float]] = field(default_factory=list)
+
+    def fit(self, df: DataFrame, label: str) -> SoftmaxRegression:
+        found = df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(self.most_classes + 1).collect()
+        if not 2 <= len(found) <= self.most_classes:
+            raise ValueError(f"{label} must have 2 to {self.most_classes} classes")
+        self.classes = [r[0] for r in found]
+        p = Preparation.fit(df, standardise=self.features)
+        d = p.transform(df.where(F.col(label).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in self.features), F.col(label).alias("__y"))).cache()
+        w = np.zeros((len(self.classes), len(self.features) + 1))
+        n = d.count()
+        xs = [F.lit(1.0), *(F.col(c) for c in self.features)]
+        for _ in range(self.steps):
+            scored = d.withColumn("__p", self._chances(w))
+            sums = [F.sum((F.get("__p", F.lit(k)) - (F.col("__y") == F.lit(c)).cast("double")) * x).alias(f"g{k}_{i}") for k, c in enumerate(self.classes) for i, x in enumerate(xs)]
+            w -= self.rate * np.array(scored.agg(*sums).first()).reshape(w.shape) / n
+        d.unpersist()
+        scale = np.array([p.scale[c] for c in self.features])
+        raw = w[:, 1:] / scale[:, 1]
+        self.weights = np.column_stack([w[:, 0] - raw @ scale[:, 0], raw]).tolist()
+        return self
+
+    def _chances(self, w) -> Column:
+        z = F.array(*(sum((float(x) * F.col(c) for x, c in zip(row[1:], self.features, strict=True)), F.lit(float(row[0]))) for row in w))
+        return softmax(z)
+
+    def probabilities(self) -> Column:
+        return self._chances(self.weights)
+
+    def predict(self) -> Column:
+        """The most probable class; ties to the first."""
+        return F.get(F.array(*map(F.lit, self.classes)), argmax(self.probabilities()).cast("int"))
+
+
+@dataclass
+class Loaded:
+    """Examples for training: x (array of float, a value for each attribute) and y (int)."""
+
+    df: DataFrame
+    attributes: list[str]
+
+    def batches(self, size: int = 1024):
+        """(x, y) as numpy arrays, one partition after the other: nothing is gathered as a whole."""
+        x, y = [], []
+        for r in self.df.toLocalIterator(prefetchPartitions=True):
+            x.append(r["x"])
+            y.append(r["y"])
+            if len(y) == size:
+                yield np.array(x, dtype=np.float32), np.array(y)
+                x, y = [], []
+        if y:
+            yield np.array(x, dtype=np.float32), np.array(y)
+
+
+def loader(spark, path: str, target: str) -> Loaded:
+    """A CSV or Parquet file as examples; what is missing counts as 0."""
+    from ..sources import files
+
+    df = files.read_parquet(spark, path) if path.endswith(".parquet") else files.read_csv(spark, path)
+    if target not in df.columns:
+        raise ValueError(f"no column {target}")
+    names = [c for c in df.columns if c != target]
+    bad = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    if bad:
+        raise ValueError(f"not numeric: {', '.join(bad)}")
+    x = F.array(*(F.coalesce(F.col(f"`{c}`").cast("float"), F.lit(0.0).cast("float")) for c in names))
+    return Loaded(df.select(x.alias("x"), F.coalesce(F.col(f"`{target}`").cast("int"), F.lit(0)).alias("y")), names)
+
+
 def knn(train: DataFrame, queries: DataFrame, features: list[str], label: str, query_id: str, k: int = 5, block: int = 1 << 14) -> DataFrame:
     """(query_id, label): majority of the k nearest by Euclid on standardised features; ties to the least label.
 
@@ -184,11 +265,19 @@ def weighted_f1(df: DataFrame, real: str, predicted: str) -> DataFrame:
 
 
 def auc(df: DataFrame, real: str, score: str) -> DataFrame:
-    """Mann-Whitney over distinct scores, ties a half. Counts by score are aggregated first; the running sum is over them."""
+    """Mann-Whitney over distinct scores, ties a half. Counts by score are aggregated and sorted into written ranges; the
+    running sum goes on from the ranges' totals, so no task sees all scores."""
     from pyspark.sql import Window
 
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(real) == 1).cast("long")).alias("p"), F.sum((F.col(real) != 1).cast("long")).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = written(g.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
+    totals = sorted((r["part"], r["n"]) for r in g.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a range
+    offsets, total = [], 0
+    for part, n in totals:
+        offsets.append((part, total))
+        total += n
+    g = g.join(F.broadcast(df.sparkSession.createDataFrame(offsets or [(-1, 0)], "part int, offset long")), "part")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("offset")
     g = g.withColumn("w", F.col("p") * (before + F.col("n") / 2))
     return g.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
@@ -204,3 +293,21 @@ def evaluate(df: DataFrame, expected: str, got: str, metric: str = "exact", tole
     ok = {"exact": lambda: a.eqNullSafe(b), "contains": lambda: F.contains(b, a), "regex": lambda: F.regexp(b, a), "tolerance": lambda: F.abs(a - b) <= tolerance}[metric]()
     p = F.coalesce(ok, F.lit(False)).cast("long")
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("passed"), F.avg(p.cast("double")).alias("score"))
+
+
+class BelowThreshold(Exception):
+    """An evaluation's score is under its threshold."""
+
+
+def gated(df: DataFrame, expected: str, got: str, metrics: dict[str, float], tolerance: float = 0.0, judge=None) -> dict[str, float]:
+    """The score of each metric, with its least score to pass, in one pass; raises BelowThreshold if one doesn't. The
+    metric "judge" takes its verdicts (0 to 1) from judge(expected, got), a column."""
+    names = list(metrics)
+    a, b = F.col(expected), F.col(got)
+    ok = {"exact": lambda: a.eqNullSafe(b), "contains": lambda: F.contains(b, a), "regex": lambda: F.regexp(b, a), "tolerance": lambda: F.abs(a - b) <= tolerance, "judge": lambda: judge(a, b)}
+    row = df.agg(*(F.coalesce(F.avg(F.coalesce(ok[m]().cast("double"), F.lit(0.0))), F.lit(0.0)).alias(m) for m in names)).first()
+    scores = {m: row[m] for m in names}
+    low = [f"{m}: {scores[m]:.4f} < {metrics[m]}" for m in names if scores[m] < metrics[m]]
+    if low:
+        raise BelowThreshold(", ".join(low))
+    return scores

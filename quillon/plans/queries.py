@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import checks, documents, ml, vectors
+from ..operators import checks, documents, ml, tensors, vectors
 from ..operators.table import Table
-from ..sources import avro, delta, files, iceberg, sql, zorder
+from ..sources import avro, delta, files, iceberg, registry, sql, zorder
 from ..sources.shared import scratch
 from ..streaming import windows
 
@@ -320,7 +320,7 @@ def evaluation(spark, sf_dir):
     return ml.evaluate(table(spark, sf_dir, "labels").df, "quality", "toxic")
 
 
-@query()
+@query("WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'true' ELSE 'false' END AS y, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x FROM supplier), n AS (SELECT q.s_suppkey, t.y, row_number() OVER (PARTITION BY q.s_suppkey ORDER BY abs(q.x - t.x), t.y) AS r FROM s q, s t WHERE q.s_suppkey % 20 = 0), v AS (SELECT s_suppkey, y, count(*) AS c FROM n WHERE r <= 5 GROUP BY 1, 2) SELECT s_suppkey, first(y ORDER BY c DESC, y) AS y FROM v GROUP BY 1")
 def nearest_neighbours(spark, sf_dir):
     d = table(spark, sf_dir, "supplier").df.withColumn("y", (F.col("s_acctbal") > 0).cast("string"))
     return ml.knn(d, d.where("s_suppkey % 20 = 0"), ["s_acctbal"], "y", "s_suppkey")
@@ -339,6 +339,161 @@ def shards(spark, sf_dir):
     return table(spark, sf_dir, "region").shard(2, 1).df
 
 
-@query()
+@query("WITH g AS (SELECT c_mktsegment, count(*) AS n, 100 * count(*) / CAST((SELECT count(*) FROM customer) AS DOUBLE) AS e FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY e - floor(e) DESC, c_mktsegment) AS i FROM g) SELECT c_mktsegment, CAST(floor(e) + (i <= 100 - (SELECT sum(floor(e)) FROM g))::INT AS BIGINT) AS n, true AS known FROM r")
 def stratified_sample(spark, sf_dir):
-    return table(spark, sf_dir, "customer").sample(100, by="c_mktsegment").select("c_custkey", "c_mktsegment").df
+    """100 rows, each group by its share: how many of each group, and that all of them are rows of the table."""
+    t = table(spark, sf_dir, "customer")
+    s = t.sample(100, by="c_mktsegment").df
+    known = t.df.select("c_custkey", F.lit(True).alias("k"))
+    return s.join(known, "c_custkey", "left").groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"), F.min(F.coalesce("k", F.lit(False))).alias("known"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT' OR o_orderpriority IS NULL")
+def delta_deletion_vector(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").df.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    at = scratch(spark)
+    delta.write(d, at, partition_by="o_orderstatus")
+    delta.delete(spark, at, {"o_orderpriority": "1-URGENT"})
+    return delta.read(spark, at).select("o_orderkey", "o_orderpriority")
+
+
+_ODD = "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'a+b' WHEN 2 THEN '50%' WHEN 3 THEN 'x/y' WHEN 4 THEN 'two words' WHEN 5 THEN '%2B' ELSE 'k=v' END"
+
+
+@query(f"SELECT o_orderkey, {_ODD} AS k FROM orders")
+def delta_partition_values(spark, sf_dir):
+    """Partition values that folder names escape."""
+    at = scratch(spark)
+    delta.write(table(spark, sf_dir, "orders").df.select("o_orderkey", F.expr(_ODD).alias("k")), at, partition_by="k")
+    return delta.read(spark, at)
+
+
+@query("SELECT s_suppkey, 'insert' AS _change_type, 1 AS _commit_version FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'delete', 2 FROM supplier WHERE s_nationkey = 3")
+def delta_change_feed(spark, sf_dir):
+    """Inserted and deleted rows."""
+    d = table(spark, sf_dir, "supplier").df.select("s_suppkey", "s_nationkey")
+    at = scratch(spark)
+    delta.write(d.where("s_suppkey % 3 <> 0"), at)
+    delta.append(d.where("s_suppkey % 3 = 0"), at)
+    delta.delete(spark, at, {"s_nationkey": 3})
+    return delta.changes(spark, at, 1).select("s_suppkey", "_change_type", "_commit_version")
+
+
+@query("SELECT p_partkey, p_size, p_brand FROM part WHERE NOT (p_size = 7 AND p_brand = 'Brand#13') AND p_size <> 9")
+def iceberg_equality_delete(spark, sf_dir):
+    at = scratch(spark)
+    iceberg.write(table(spark, sf_dir, "part").df.select("p_partkey", "p_size", "p_brand"), at, ["truncate[5](p_size)"])
+    iceberg.delete(spark, at, {"p_size": 7, "p_brand": "Brand#13"}, "equality")
+    iceberg.delete(spark, at, {"p_size": 9}, "equality")
+    return iceberg.read(spark, at)
+
+
+@query("SELECT vec_id, len(embedding) AS n, embedding[1]::DOUBLE AS head, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(list_avg(embedding::DOUBLE[]), 6) AS mean_, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most FROM embeddings")
+def list_reductions(spark, sf_dir):
+    d = table(spark, sf_dir, "embeddings").derive({"n": "tamanho(embedding)", "head": "embedding[0]", "total": "somar(embedding)", "mean_": "media(embedding)", "least": "min(embedding)", "most": "max(embedding)"}).df
+    return d.select("vec_id", "n", F.col("head").cast("double").alias("head"), F.round("total", 6).alias("total"), F.round("mean_", 6).alias("mean_"), "least", "most")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: greatest(x, 0))), 6) AS relu, list_position(embedding, list_max(embedding)) - 1 AS top, round(list_max(list_transform(embedding::DOUBLE[], lambda x: exp(x))) / list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x))), 9) AS chance, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS square FROM embeddings")
+def tensor_columns(spark, sf_dir):
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").df.select("vec_id", F.round(tensors.total(tensors.relu(e)), 6).alias("relu"), tensors.argmax(e).alias("top"), F.round(F.array_max(tensors.softmax(e)), 9).alias("chance"), F.round(tensors.dot(e, e), 6).alias("square"))
+
+
+@query("SELECT 'not_null' AS rule, row_number() OVER (ORDER BY s_suppkey) AS row FROM supplier QUALIFY s_nationkey % 5 = 0 OR s_nationkey IS NULL")
+def quality_not_null(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").df.withColumn("x", F.expr("nullif(s_nationkey % 5, 0)"))
+    return checks.violations(Table(d), not_null=["x"]).select("rule", "row")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END, avg(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END) OVER ()) AS x FROM orders")
+def imputation(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").df.select("o_orderkey", F.expr("if(o_custkey % 4 > 0, o_totalprice, null)").alias("x"))
+    return ml.Preparation.fit(d, impute=["x"]).transform(d)
+
+
+@query("WITH c AS (SELECT quality AS k, count(*) AS support, sum((quality = toxic)::INT) AS hit FROM labels GROUP BY 1), p AS (SELECT toxic AS k, count(*) AS called FROM labels GROUP BY 1) SELECT round(sum(support * CASE WHEN hit > 0 THEN 2.0 * hit / (support + coalesce(called, 0)) ELSE 0 END) / sum(support), 9) AS f1 FROM c LEFT JOIN p USING (k)")
+def f1_score(spark, sf_dir):
+    return ml.weighted_f1(table(spark, sf_dir, "labels").df, "quality", "toxic").select(F.round("f1", 9).alias("f1"))
+
+
+@query("SELECT round(sqrt(avg((l_extendedprice - 1500 * l_quantity) ** 2)), 4) AS rmse, round(1 - sum((l_extendedprice - 1500 * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem")
+def regression_errors(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").df.withColumn("guess", 1500 * F.col("l_quantity"))
+    return ml.regression_measures(d, "l_extendedprice", "guess").select(F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+@query("SELECT event_id FROM events WHERE event_id BETWEEN 20 AND 70")
+def backfill(spark, sf_dir):
+    got = []
+    windows.Window("p", lambda: table(spark, sf_dir, "events").df.select("event_id"), 25, cursor="event_id", backfill=(20, 70)).tick(lambda t: got.append(t.df))
+    return got[0]
+
+
+@query("SELECT s_suppkey, s_acctbal > 0 AS good FROM supplier")
+def quarantine(spark, sf_dir):
+    """Rows that meet a rule, and those that were put aside."""
+    at = scratch(spark) + "/bad"
+    good = checks.quarantined(table(spark, sf_dir, "supplier"), "linha.s_acctbal > 0", at).df
+    bad = spark.read.schema("linha struct<s_suppkey: bigint>").json(at).select(F.col("linha.s_suppkey").alias("s_suppkey"), F.lit(False).alias("good"))
+    return good.select("s_suppkey", F.lit(True).alias("good")).unionAll(bad)
+
+
+@query("SELECT o_orderkey, 1 AS n FROM orders")
+def split_and_fold(spark, sf_dir):
+    """Each row is in one of the two parts of a split, and in the test part of one of three folds."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey")
+    a, b = t.split(0.7)
+    folds = [t.fold(3, k)[1].df.withColumn("n", F.lit(0)) for k in range(3)]
+    d = a.df.withColumn("n", F.lit(1)).unionAll(b.df.withColumn("n", F.lit(1)))
+    for f in folds:
+        d = d.unionAll(f)
+    return d.groupBy("o_orderkey").agg(F.sum("n").cast("int").alias("n"))
+
+
+@query("SELECT o_orderkey, (o_orderkey_n // 1000) AS window FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS o_orderkey_n FROM orders) WHERE o_orderkey_n < (SELECT count(*) // 1000 * 1000 FROM orders)")
+def windows_of_a_sort(spark, sf_dir):
+    """Count windows over rows in 64 partitions, in another order than they are stored."""
+    d = table(spark, sf_dir, "orders").df.repartition(64, "o_custkey").orderBy("o_totalprice", "o_orderkey").withColumn("k", F.struct("o_totalprice", "o_orderkey"))
+    return windows.numbered_windows(d, "k", 1000).select("o_orderkey", "window")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 LIMIT 3")
+def source_registry(spark, sf_dir):
+    """A declared source: a database, with columns, condition and limit handed to it."""
+    at = f"{scratch(spark)}/t.db"
+    rows = sorted(tuple(r) for r in table(spark, sf_dir, "nation").df.collect())
+    sql.execute(f"sqlite://{at}", "CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
+    sql.transaction(f"sqlite://{at}", [{"sql": "INSERT INTO nation VALUES (?, ?, ?)", "params": list(r)} for r in rows])
+    return registry.read(spark, {"tipo": "sqlite", "caminho": at, "consulta": "SELECT * FROM nation ORDER BY n_nationkey", "pushdown": {"colunas": ["n_nationkey", "n_name"], "onde": {"n_regionkey": 2}, "limite": 3}})
+
+
+@query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS total, sum(l_linenumber) AS labels FROM lineitem")
+def training_examples(spark, sf_dir):
+    """A file as examples: attributes in one array, the target as integers."""
+    at = f"{scratch(spark)}/t.parquet"
+    table(spark, sf_dir, "lineitem").df.select("l_quantity", "l_tax", "l_linenumber").write.parquet(at)
+    d = ml.loader(spark, at, "l_linenumber").df
+    return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("x", F.lit(0)).cast("double")), 2).alias("total"), F.sum("y").alias("labels"))
+
+
+@query("SELECT true AS passed, avg((quality = toxic)::INT) AS exact FROM labels")
+def evaluation_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").df
+    score = ml.gated(d, "quality", "toxic", {"exact": 0.0})["exact"]
+    try:
+        ml.gated(d, "quality", "toxic", {"exact": 1.0})
+        passed = False
+    except ml.BelowThreshold:
+        passed = True
+    return spark.createDataFrame([(passed, score)], "passed boolean, exact double")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'low' WHEN s_acctbal < 5000 THEN 'mid' ELSE 'top' END AS real, true AS near FROM supplier")
+def softmax_classes(spark, sf_dir):
+    """Three classes by one feature: what is guessed is the class, but for rows close to a border."""
+    d = table(spark, sf_dir, "supplier").df.select("s_suppkey", "s_acctbal", F.expr("case when s_acctbal < 0 then 'low' when s_acctbal < 5000 then 'mid' else 'top' end").alias("real"))
+    d = d.withColumn("square", F.col("s_acctbal") * F.col("s_acctbal"))
+    guess = ml.SoftmaxRegression(["s_acctbal", "square"], steps=150, rate=2.0).fit(d, "real").predict()
+    border = F.least(F.abs("s_acctbal"), F.abs(F.col("s_acctbal") - 5000)) < 1500
+    return d.select("s_suppkey", "real", ((guess == F.col("real")) | border).alias("near"))

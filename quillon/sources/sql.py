@@ -53,7 +53,7 @@ def query(spark: SparkSession, url: str, sql: str, params: list | None = None) -
 
 def pushed(sql: str, columns: list[str] | None = None, where: Mapping | None = None, limit: int | None = None, params: list | None = None) -> tuple[str, list]:
     """The query with columns, equalities and limit handed to the database."""
-    if where and "?" in sql:
+    if where and any("?" in x for x in re.split(r"'(?:[^']|'')*'|\"[^\"]*\"", sql)):
         raise ValueError("a query with placeholders takes no further conditions")
     for n in [*(columns or []), *(where or {})]:
         if not _NAME.match(n):
@@ -67,6 +67,30 @@ def pushed(sql: str, columns: list[str] | None = None, where: Mapping | None = N
     return out, [*(params or []), *(v for v in (where or {}).values() if v is not None)]
 
 
+def inlined(sql: str, params: list) -> str:
+    """The query with its parameters in place of the question marks outside of quotes, for databases behind JDBC."""
+    parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\")", sql)
+    left = list(params)
+
+    def value(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return "TRUE" if x else "FALSE"
+        return repr(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+
+    for i in range(0, len(parts), 2):
+        pieces = parts[i].split("?")
+        for j in range(len(pieces) - 1):
+            if not left:
+                raise ValueError("fewer parameters than placeholders")
+            pieces[j] += value(left.pop(0))
+        parts[i] = "".join(pieces)
+    if left:
+        raise ValueError("more parameters than placeholders")
+    return "".join(parts)
+
+
 def execute(url: str, sql: str, params: list | None = None) -> None:
     with connection(url) as c:
         c.execute(sql, params or [])

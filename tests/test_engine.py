@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import values as V
 from quillon.functions.expressions import compile_value
-from quillon.operators import checks, documents, ml, vectors
+from quillon.operators import checks, documents, ml, tensors, vectors
 from quillon.operators.table import Table
-from quillon.sources import bitmaps, delta, files, sql
+from quillon.sources import bitmaps, delta, files, registry, sql, zorder
 from quillon.streaming import schedule, windows
 
 
@@ -283,3 +283,95 @@ def test_samples(spark):
     a, b = t.split(0.7, 3)
     assert a.count() + b.count() == 100 and rows(t.split(0.7, 3)[1]) == rows(b)
     assert sum(t.fold(5, k)[1].count() for k in range(5)) == 100
+
+
+def test_tensors(spark):
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=(5, 7)), r.normal(size=(5, 7))
+    b[0, :3] = 0
+    d = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, a array<double>, b array<double>")
+    x, y = F.col("a"), F.col("b")
+    one = {"add": tensors.add(x, y), "subtract": tensors.subtract(x, y), "multiply": tensors.multiply(x, y), "divide": tensors.divide(x, y), "softmax": tensors.softmax(x), "layer_norm": tensors.layer_norm(x), "relu": tensors.relu(x), "sigmoid": tensors.sigmoid(x), "tanh": tensors.tanh(x), "silu": tensors.silu(x), "gelu": tensors.gelu(x), "dot": tensors.dot(x, y), "argmax": tensors.argmax(x), "mean": tensors.mean(x)}
+    got = d.orderBy("i").select(*(c.alias(k) for k, c in one.items())).toPandas()
+    A = tensors.Arrays
+    sig = 1 / (1 + np.exp(-a))
+    want = {"add": a + b, "subtract": a - b, "multiply": a * b, "divide": A.divide(a, b), "softmax": A.softmax(a), "layer_norm": A.layer_norm(a), "relu": np.maximum(a, 0), "sigmoid": sig, "tanh": np.tanh(a), "silu": a * sig, "gelu": 0.5 * a * (1 + np.tanh(math.sqrt(2 / math.pi) * (a + 0.044715 * a**3))), "dot": (a * b).sum(1), "argmax": a.argmax(1), "mean": a.mean(1)}
+    for k, v in want.items():
+        assert np.allclose(np.array(got[k].tolist()), v), k
+    assert not A.divide(a, b)[0, :3].any() and np.allclose(A.divide(a, b[1]), a / b[1])
+    image, kernels = r.normal(size=(2, 3, 6, 5)), r.normal(size=(4, 3, 3, 3))
+    conv = A.conv2d(image, kernels, stride=2, pad=1)
+    padded = np.pad(image, ((0, 0), (0, 0), (1, 1), (1, 1)))
+    assert conv.shape == (2, 4, 3, 3) and conv[1, 2, 1, 2] == pytest.approx((padded[1, :, 2:5, 4:7] * kernels[2]).sum())
+    assert A.max_pool(image, 2)[0, 1, 1, 0] == image[0, 1, 2:4, 0:2].max()
+    assert np.allclose(A.batch_norm(image, np.ones(3), np.zeros(3), image.mean((0, 2, 3)), image.var((0, 2, 3)), 0).std((0, 2, 3)), 1)
+    assert A.embedding(a, np.array([3, 0])).tolist() == a[[3, 0]].tolist() and np.allclose(A.matmul(a, b.T), a @ b.T)
+
+
+def test_softmax_regression_steps_as_numpy(spark):
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(60, 2)) * [3, 0.5] + [1, 2], r.integers(0, 3, 60)
+    d = spark.createDataFrame([(*map(float, p), f"c{k}") for p, k in zip(x, y, strict=True)], "u double, v double, c string")
+    m = ml.SoftmaxRegression(["u", "v"], steps=5, rate=0.5).fit(d, "c")
+    z = np.column_stack([np.ones(60), (x - x.mean(0)) / x.std(0)])
+    w, target = np.zeros((3, 3)), np.eye(3)[y]
+    for _ in range(5):
+        w -= 0.5 * (tensors.Arrays.softmax(z @ w.T) - target).T @ z / 60
+    got = d.select(m.probabilities().alias("p")).toPandas()["p"].tolist()
+    assert m.classes == ["c0", "c1", "c2"] and np.allclose(got, tensors.Arrays.softmax(z @ w.T))
+
+
+def test_registry_loader_and_gate(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a,b,y\n1,2.5,0\n3,,1\n")
+    assert rows(registry.read(spark, {"tipo": "csv", "arquivo": str(tmp_path / "d.csv")}).select("a", "y")) == [(1, 0), (3, 1)]
+    with pytest.raises(registry.UnknownSource):
+        registry.read(spark, {"tipo": "s3", "url": "x"})
+    with pytest.raises(ValueError):
+        registry.read(spark, {"tipo": "csv"})
+    pq_path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, None, 2), (None, 4.5, None)], "a int, b double, y int").coalesce(1).write.parquet(pq_path)
+    loaded = ml.loader(spark, pq_path, "y")
+    assert loaded.attributes == ["a", "b"] and sorted(rows(loaded.df), key=str) == [([0.0, 4.5], 0), ([1.0, 0.0], 2)]
+    assert sum(len(y) for _, y in loaded.batches(1)) == 2
+    d = spark.createDataFrame([("a", "a"), ("b", "x b"), ("c", None)], "e string, g string")
+    assert ml.gated(d, "e", "g", {"exact": 0.3, "contains": 0.6, "judge": 0.9}, judge=lambda e, g: F.lit(1.0)) == pytest.approx({"exact": 1 / 3, "contains": 2 / 3, "judge": 1.0})
+    with pytest.raises(ml.BelowThreshold):
+        ml.gated(d, "e", "g", {"exact": 0.5})
+    assert sql.inlined("SELECT '?' , ?, ? FROM \"t?\"", [None, "o'x"]) == "SELECT '?' , NULL, 'o''x' FROM \"t?\""
+
+
+def test_text_vectors_and_k_means_by_brute_force(spark):
+    from quillon.plans.queries import QUERIES
+
+    at = "/root/testdata/sf0.001"
+    q = np.array(vectors.embed_text("license token"), dtype=float)
+    scored = []
+    for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect():
+        v = np.array(vectors.embed_text(r["text"]), dtype=float)
+        n = np.linalg.norm(v) * np.linalg.norm(q)
+        scored.append((-(v @ q / n if n else 0.0), r["doc_id"]))
+    want = sorted(scored)[:5]
+    assert [(r["doc_id"], r["score"]) for r in QUERIES["text_vectors"](spark, at).collect()] == [(i, pytest.approx(-s, abs=1e-6)) for s, i in want]
+    groups = {}
+    balance = {r["s_suppkey"]: r["s_acctbal"] for r in spark.read.parquet(f"{at}/supplier.parquet").collect()}
+    for r in QUERIES["k_means"](spark, at).collect():
+        groups.setdefault(r["grupo"], []).append(balance[r["s_suppkey"]])
+    centres = {g: np.mean(x) for g, x in groups.items()}
+    # a fixed point: each row is with the nearest centre
+    assert 1 < len(groups) <= 3 and all(min(centres, key=lambda c: abs(centres[c] - v)) == g for g, x in groups.items() for v in x)
+
+
+def test_auc_over_many_ranges(spark):
+    r = np.random.default_rng(7)
+    s, y = r.integers(0, 300, 2000), r.integers(0, 2, 2000)
+    d = spark.createDataFrame([(int(a), int(b)) for a, b in zip(s, y, strict=True)], "s int, y int")
+    p, n = s[y == 1][:, None], s[y == 0][None]
+    assert ml.auc(d, "y", "s").first()[0] == pytest.approx(((p > n) + 0.5 * (p == n)).mean())
+
+
+def test_z_order_clusters_files(spark, tmp_path):
+    """Each file covers a small part of the plane."""
+    d = spark.range(0, 4096).select((F.col("id") % 64).alias("x"), (F.col("id") / 64).cast("int").alias("y"))
+    zorder.clustered(d, ["x", "y"], 16).write.parquet(str(tmp_path / "z"))
+    g = spark.read.parquet(str(tmp_path / "z")).groupBy(F.input_file_name()).agg(((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("area"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in g) == 4096 and sum(r["area"] for r in g) < 3 * 4096
