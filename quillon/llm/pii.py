@@ -3,11 +3,12 @@
 Base spans (email, ip, card, phone) are found by patterns and checks and always stay. The method
 adds spans of further kinds: patterns propose candidates; labelers (form, gazetteer, context,
 counter-context, variety of characters) each vote yes, no or nothing. A candidate is described
-wholly by its kind and votes, so one aggregation over the corpus counts each such pattern, of
-which there are at most len(KINDS) * 3 ** 5. On these counts the driver runs expectation-maximisation
-for the labelers' reliabilities (naive-Bayes, two classes) and then trains the final classifier, a
-logistic regression on one-hot votes and kinds weighted by the counts. Candidates whose pattern it
-accepts become spans, unless they overlap a base span.
+wholly by its kind, its votes and its span's own features (classes of length, share of digits and case), so one
+aggregation over the corpus counts each such pattern, of which there are at most len(KINDS) * 3 ** (N_VOTES +
+N_FEATURES). On these counts the driver runs expectation-maximisation over the votes for the labelers' reliabilities
+(naive-Bayes, two classes) and then trains the final classifier, a logistic regression from span features of each
+kind, kinds and votes to what EM believes, weighted by the counts. Candidates whose pattern it accepts become spans,
+unless they overlap a base span.
 
 Everything on a document happens within its row, in the JVM. Places count code points from 0, ends
 excluded. Defined results: a null text is an empty one; without candidates nothing is added; rows
@@ -49,11 +50,14 @@ FORM = {
     "person": r"^\S+ \S+ \S+$",
     "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[A-Za-z0-9_/+-]{24,128})$",
 }
+# Codes of countries that issue such account numbers, and given names that are common in several languages.
+COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VA XK"
+NAMES = "Adam Ahmed Alain Alan Albert Alejandro Alexander Alice Amelie Amy Ana Andre Andrea Andrew Angela Anita Anna Anne Anthony Antonio Barbara Beatriz Benjamin Bernard Bernd Brian Carla Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine Claire Clara Claude Claudia Cristina Daniel David Denise Diana Diego Dieter Dominique Elena Elisabeth Elizabeth Emily Emma Eric Erika Eva Felix Fernando Francisco Frank Frederic Gabriel Gabriela George Gerard Hannah Hans Heike Heinz Helen Helena Henri Hugo Ines Ingrid Isabel Jack Jacques James Jan Jane Javier Jean Jennifer Jessica Joao John Jorge Jose Joseph Juan Julia Julien Juan Karen Karin Karl Katharina Kevin Klaus Lars Laura Laurent Lea Lena Leon Linda Lisa Louis Louise Lucas Lucia Lucie Luis Luisa Manuel Marc Marcel Maria Marie Marina Mario Mark Markus Marta Martin Mary Matthew Max Michael Michel Miguel Monika Nancy Nicolas Nicole Nina Oliver Olivia Oscar Pablo Patricia Patrick Paul Paula Pedro Peter Petra Philippe Pierre Rachel Rafael Raul Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Sebastian Sofia Sophie Stefan Stephen Susan Teresa Thomas Tobias Ursula Victor Vincent Werner William Wolfgang Yves"
 GAZETTEER = {
-    "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
+    "iban": rf"^(?:{'|'.join(COUNTRIES.split())})",
     "mac": r"^(?i:00:1A|00:50|3C:5A|B8:27|DC:A6|F0:18)",
     "national_id": r"^[0-6]",
-    "person": r"\b(?:Anna|Carlos|Claire|David|Elena|Emma|Hans|Ines|James|Jean|John|Jose|Julia|Karl|Laura|Lucia|Luis|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sofia|Thomas)\b",
+    "person": rf"\b(?:{'|'.join(NAMES.split())})\b",
     "secret": r"^(?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|sk_live_|xox[bp]-|eyJ)",
 }
 CONTEXT = {
@@ -64,7 +68,7 @@ CONTEXT = {
     "secret": r"token|secret|passw|api.?key|bearer|credential|auth",
 }
 AGAINST = r"commit|sha-?[0-9]|md5|checksum|digest|hash|version|isbn|order|invoice|http|www\.|/$"
-N_VOTES = 5
+N_VOTES, N_FEATURES = 5, 3
 #: Characters before a candidate that context labelers see.
 AHEAD = 24
 OUT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
@@ -119,8 +123,14 @@ def candidates(text: Column) -> Column:
             F.when(before.rlike(AGAINST), 0).otherwise(1),
             F.when(variety >= 10, 2).when(variety >= 6, 1).otherwise(0),
         ]
+        size = F.length(found)
+        features = [
+            F.when(size < 16, 0).when(size < 36, 1).otherwise(2),
+            F.least(F.floor(3 * F.length(_digits(found)) / size), F.lit(2)),
+            F.when(found.rlike("[a-z]") & found.rlike("[A-Z]"), 2).when(found.rlike("[A-Z]"), 1).otherwise(0),
+        ]
         code = number
-        for x in v:
+        for x in [*v, *features]:
             code = code * 3 + x
         return F.struct(k.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), code.cast("int").alias("code"))
 
@@ -135,29 +145,31 @@ def pattern_counts(docs: DataFrame) -> dict[int, int]:
     return {r["code"]: r["count"] for r in d.where("code is not null").groupBy("code").count().collect()}  # bounded: see above
 
 
-def decoded(code: int) -> tuple[int, list[int]]:
+def decoded(code: int) -> tuple[int, list[int], list[int]]:
+    """Kind, votes and features."""
     v = []
-    for _ in range(N_VOTES):
+    for _ in range(N_VOTES + N_FEATURES):
         code, x = divmod(code, 3)
         v.append(x)
-    return code, v[::-1]
+    v = v[::-1]
+    return code, v[:N_VOTES], v[N_VOTES:]
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[list[list[list[float]]], dict[int, float]]:
     """P(vote | class) of each labeler and P(yes) of each pattern, by expectation-maximisation from the votes' majority."""
     patterns = {c: decoded(c) for c in counts}
-    yes = {c: min(0.9, max(0.1, 0.5 + 0.2 * sum(x - 1 for x in v))) for c, (_, v) in patterns.items()}
+    yes = {c: min(0.9, max(0.1, 0.5 + 0.2 * sum(x - 1 for x in v))) for c, (_, v, _) in patterns.items()}
     table: list[list[list[float]]] = []
     for _ in range(rounds):
         table = [[[1.0] * 3 for _ in range(2)] for _ in range(N_VOTES)]
         prior = {k: [1.0, 1.0] for k in range(len(KINDS))}
-        for c, (k, v) in patterns.items():
+        for c, (k, v, _) in patterns.items():
             for y, p in ((0, 1 - yes[c]), (1, yes[c])):
                 prior[k][y] += counts[c] * p
                 for j, x in enumerate(v):
                     table[j][y][x] += counts[c] * p
         table = [[[n / sum(row) for n in row] for row in t] for t in table]
-        for c, (k, v) in patterns.items():
+        for c, (k, v, _) in patterns.items():
             log = [math.log(prior[k][y] / sum(prior[k])) + sum(math.log(table[j][y][x]) for j, x in enumerate(v)) for y in (0, 1)]
             yes[c] = 1 / (1 + math.exp(max(-500.0, min(500.0, log[0] - log[1]))))
     return table, yes
@@ -169,8 +181,15 @@ def accepted(counts: dict[int, int], steps: int = 400, rate: float = 1.0, ridge:
         return []
     _, yes = reliabilities(counts)
     total = sum(counts.values())
-    at = {c: [0, *(1 + 3 * j + x for j, x in enumerate(v)), 1 + 3 * N_VOTES + k] for c, (k, v) in ((c, decoded(c)) for c in counts)}
-    w = [0.0] * (1 + 3 * N_VOTES + len(KINDS))
+    n_kinds = len(KINDS)
+    first = 1 + n_kinds + 3 * N_VOTES
+
+    def inputs(code: int) -> list[int]:
+        k, v, f = decoded(code)
+        return [0, 1 + k, *(1 + n_kinds + 3 * j + x for j, x in enumerate(v)), *(first + (k * N_FEATURES + j) * 3 + x for j, x in enumerate(f))]
+
+    at = {c: inputs(c) for c in counts}
+    w = [0.0] * (first + n_kinds * N_FEATURES * 3)
 
     def p(c: int) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, sum(w[i] for i in at[c])))))
@@ -217,8 +236,10 @@ def find(docs: DataFrame, codes: list[int], arrays: bool = False) -> DataFrame:
     d = docs.select(*without(docs, *OUT), F.coalesce(docs["text"], F.lit("")).alias(_T))
     columns = {f"__pii_{k}": v for k, v in base_spans(text).items()}
     d = d.select("*", *(fixed(v).alias(k) for k, v in columns.items()), fixed(candidates(text)).alias(_C))
-    good = F.array(*map(F.lit, codes)).cast("array<int>")
-    added = _apart(F.filter(_C, lambda c: F.array_contains(good, c["code"])), F.concat(*(F.col(k) for k in columns)))
+    accepted_ = set(codes)
+    told = ",".join("1" if c in accepted_ else "0" for c in range(len(KINDS) * 3 ** (N_VOTES + N_FEATURES)))
+    good = F.expr(f"cast(split('{told}', ',') as array<boolean>)")  # folded to one literal
+    added = _apart(F.filter(_C, lambda c: F.get(good, c["code"])), F.concat(*(F.col(k) for k in columns)))
     d = d.withColumn(_C, fixed(added))
 
     def told(kind: str, a: Column | str) -> Column:
