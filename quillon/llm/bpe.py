@@ -2,7 +2,7 @@
 
 Two tiers: a minimal perfect hash (hash and displace) resolves a pre-token that is a whole entry of
 the vocabulary; any other is merged, lowest rank and then leftmost first, with a heap over a linked
-list of its bytes. A task remembers recent pre-tokens, up to a fixed number.
+list of its bytes. A worker remembers recent pre-tokens, up to a fixed number and length.
 
 Defined results: a null text is encoded as an empty one; special tokens have no meaning here;
 documents are encoded row by row, so repeated rows, null ids and further columns don't matter
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 1 << 18
+#: Half the pre-tokens that a process remembers, and the length up to which it does.
+REMEMBERED, LONGEST = 1 << 18, 64
 _M = (1 << 64) - 1
 
 
@@ -73,6 +75,19 @@ class PerfectHash:
         return self.values[at] if self.keys[at] == key else None
 
 
+#: The tokenizer that this process has unpacked last: a worker's tasks share it, with the pre-tokens that it remembers.
+_LAST: dict[str, Tokenizer] = {}
+
+
+def _unpacked(name: str, data: bytes) -> Tokenizer:
+    if name not in _LAST:
+        t = Tokenizer.__new__(Tokenizer)
+        t.__dict__.update(pickle.loads(data))
+        _LAST.clear()
+        _LAST[name] = t
+    return _LAST[name]
+
+
 class Tokenizer:
     """entries: the vocabulary in the order of its ranks (0, 1, ...), all single bytes among them. pattern: cuts a text into pre-tokens."""
 
@@ -83,10 +98,13 @@ class Tokenizer:
         self.bytes = [rank[bytes([i])] for i in range(256)]
         #: rank of the joined entry by the ranks of two neighbours
         self.joined = {(a << 32) | b: i for i, e in enumerate(entries) for k in range(1, len(e)) if (a := rank.get(e[:k])) is not None and (b := rank.get(e[k:])) is not None}
-        self._find = None
+        self._find = self._packed = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"_find": None, "_known": None}
+    def __reduce__(self):
+        if self._packed is None:
+            data = pickle.dumps(self.__dict__ | {"_find": None, "_known": None, "_before": None})
+            self._packed = (hashlib.sha256(data).hexdigest(), data)
+        return _unpacked, self._packed
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Tokenizer:
@@ -128,14 +146,17 @@ class Tokenizer:
         if self._find is None:
             import regex
 
-            self._find, self._known = regex.compile(self.pattern).findall, {}
+            self._find, self._known, self._before = regex.compile(self.pattern).findall, {}, {}
         known, out = self._known, []
         for t in self._find(text):
             ids = known.get(t)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[t] = ids = self.piece(t)
+                ids = self._before.get(t) or self.piece(t)
+                if len(t) <= LONGEST:
+                    if len(known) >= REMEMBERED:  # what is met again comes over from the former ones
+                        self._before, self._known = known, {}
+                        known = self._known
+                    known[t] = ids
             out += ids
         return out
 
