@@ -406,10 +406,10 @@ def quality_not_null(spark, sf_dir):
     return checks.violations(Table(d), not_null=["x"]).select("rule", "row")
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END, avg(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END) OVER ()) AS x FROM orders")
+@query("SELECT o_orderkey, round(coalesce(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END, avg(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END) OVER ()), 4) AS x FROM orders")
 def imputation(spark, sf_dir):
     d = table(spark, sf_dir, "orders").df.select("o_orderkey", F.expr("if(o_custkey % 4 > 0, o_totalprice, null)").alias("x"))
-    return ml.Preparation.fit(d, impute=["x"]).transform(d)
+    return ml.Preparation.fit(d, impute=["x"]).transform(d).withColumn("x", F.round("x", 4))
 
 
 @query("WITH c AS (SELECT quality AS k, count(*) AS support, sum((quality = toxic)::INT) AS hit FROM labels GROUP BY 1), p AS (SELECT toxic AS k, count(*) AS called FROM labels GROUP BY 1) SELECT round(sum(support * CASE WHEN hit > 0 THEN 2.0 * hit / (support + coalesce(called, 0)) ELSE 0 END) / sum(support), 9) AS f1 FROM c LEFT JOIN p USING (k)")
