@@ -259,6 +259,23 @@ def test_passages_recall_and_precision_under_crowding(spark):
     assert met >= 57, met
 
 
+def test_near_copies_in_crowded_buckets_all_meet(spark):
+    """40 documents hold a text; 40 pairs hold it with their own changes, too many to be like it, and differ by a word from each other."""
+    r = random.Random(9)
+    new = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    common = new(60)
+    rows = [(i, " ".join(new(40) + common + new(40))) for i in range(40)]
+    for i in range(40):
+        own = list(common)
+        for p in (12, 30, 48):
+            own[p + i % 5] = f"own{i}"
+        other = list(own)
+        other[22 + i % 7] = "changed"
+        rows += [(100 + 2 * i, " ".join(new(30) + own + new(30))), (101 + 2 * i, " ".join(new(50) + other + new(10)))]
+    got = {(x["doc_id"], x["other_doc_id"]) for x in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [i for i in range(40) if (100 + 2 * i, 101 + 2 * i) not in got] == []
+
+
 def test_compact_windows_are_maximal():
     rng = random.Random(5)
     h = np.array([rng.randrange(1, 1 << 40) for _ in range(200)], dtype=np.uint64)
